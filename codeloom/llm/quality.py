@@ -3,8 +3,8 @@
 Each rule votes good, bad or abstains.  Documents with equal votes are alike to the
 model, so Spark counts vote patterns (at most 3^rules, whatever the corpus) and
 expectation-maximisation runs on that histogram: it estimates how each rule votes
-on good and on bad text, and gives each pattern a posterior probability of good text,
-which decides in place of an all-must-pass filter.
+on good text and on each kind of fault, and gives each pattern a posterior probability of
+good text, which decides in place of an all-must-pass filter.
 
 Edge cases: null and empty texts have no words and fail the base rules; equal rows get equal
 verdicts; an empty table gives no rows (the model is then never applied); other columns are untouched.
@@ -100,40 +100,45 @@ def rules() -> dict[str, Column]:
         "length": _vote(c("n_words") < 10, c("n_words") >= 30),
         "word_length": _vote((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words")), (c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 12 * c("n_words"))),
         "symbols": _vote(10 * c("n_symbols") > c("n_words"), 50 * c("n_symbols") <= c("n_words")),
-        "repeats": _vote(100 * c("n_repeat_words") > 20 * c("n_words"), 100 * c("n_repeat_words") <= 5 * c("n_words")),
-        "lines": _vote(10 * c("n_dup_lines") > 3 * c("n_lines"), 10 * c("n_dup_lines") <= c("n_lines")),
+        "repeats": _vote(100 * c("n_repeat_words") > 20 * c("n_words"), 100 * c("n_repeat_words") <= 15 * c("n_words")),
+        "lines": _vote(10 * c("n_dup_lines") > 3 * c("n_lines"), 4 * c("n_dup_lines") <= c("n_lines")),
         "case": _vote(3 * c("n_upper") > c("n_lower"), 7 * c("n_upper") <= c("n_lower")),
         "shouting": _vote(10 * c("n_exclaim") > c("n_words"), 50 * c("n_exclaim") <= c("n_words")),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 200, smooth: float = 0.01) -> tuple[dict[tuple[int, ...], float], dict]:
-    """Expectation-maximisation on (votes, documents); returns each pattern's probability of good text, and the estimates."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 200, smooth: float = 0.01, false_alarm: float = 0.01) -> tuple[dict[tuple[int, ...], float], dict]:
+    """Expectation-maximisation on (votes, documents); returns each pattern's probability of good text, and the estimates.
+
+    Text is good or has one of as many kinds of fault as there are rules (a page of symbols passes
+    every other rule, so "bad" is not one class whose rules err independently).  The votes of each
+    class are estimated; on good text no rule is taken to vote bad more often than ``false_alarm``.
+    """
     if not patterns:
         return {}, {}
     votes = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), -1)
-    mass = np.array([n for _, n in patterns], float)
-    # a first guess: bad votes weigh more than good ones, since rules are written to find one fault each
-    good = np.where((votes < 0).any(axis=1), 0.1, 0.9)
+    mass, n_rules = np.array([n for _, n in patterns], float), votes.shape[1]
+    bad = (votes < 0).astype(float)
+    kinds = bad + 1e-3  # pattern, kind of fault
+    good = np.where(bad.any(axis=1), 0.1, 0.9)
+    shares = np.column_stack([good, kinds * ((1 - good) / kinds.sum(axis=1))[:, None]])
     shown = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
     for _ in range(rounds):
-        rate, theta = [], []
-        for part in (1 - good, good):
-            w = mass * part
-            n = w.sum()
-            rate.append((n + smooth) / (mass.sum() + 2 * smooth))
-            theta.append((np.einsum("p,prv->rv", w, shown) + smooth) / (n + 3 * smooth))
-        # a rule is never taken to prefer bad text
-        swap = theta[0][:, 0] < theta[1][:, 0]
-        mean = (theta[0] + theta[1]) / 2
-        theta = [np.where(swap[:, None], mean, t) for t in theta]
-        score = [np.log(r) + np.einsum("prv,rv->p", shown, np.log(t)) for r, t in zip(rate, theta)]
-        new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
-        if np.abs(new - good).max() < 1e-9:
-            good = new
+        weight = mass[:, None] * shares
+        n = weight.sum(axis=0)
+        rate = (n + smooth) / (n + smooth).sum()
+        theta = (np.einsum("pc,prv->crv", weight, shown) + smooth) / (n[:, None, None] + 3 * smooth)
+        alarm = np.minimum(theta[0, :, 0], false_alarm)
+        theta[0, :, 1:] *= ((1 - alarm) / theta[0, :, 1:].sum(axis=1))[:, None]
+        theta[0, :, 0] = alarm
+        score = np.log(rate) + np.einsum("prv,crv->pc", shown, np.log(theta))
+        new = np.exp(score - score.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        moved, shares = np.abs(new - shares).max(), new
+        if moved < 1e-9:
             break
-        good = new
-    return {p: float(g) for (p, _), g in zip(patterns, good)}, {"prior_good": rate[1], "bad_text": theta[0].tolist(), "good_text": theta[1].tolist()}
+    accuracy = {r: {"bad_votes_on_good": float(theta[0, r, 0]), "bad_votes_on_its_fault": float(theta[r + 1, r, 0])} for r in range(n_rules)}
+    return {p: float(g) for (p, _), g in zip(patterns, shares[:, 0])}, {"good": float(rate[0]), "faults": rate[1:].tolist(), "rules": accuracy}
 
 
 def quality(measured: DataFrame, *, threshold: float = 0.5) -> DataFrame:
