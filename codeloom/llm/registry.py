@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "token_counts", "quality", "url_filter")
+MODULES = ("packing", "token_counts", "quality", "url_filter", "decontaminate")
 
 
 def _all(what: str) -> dict:
