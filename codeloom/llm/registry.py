@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "token_counts", "quality", "url_filter", "decontaminate")
+MODULES = ("packing", "pii", "token_counts", "near_duplicates", "decontaminate", "quality", "url_filter")
 
 
 def _all(what: str) -> dict:
