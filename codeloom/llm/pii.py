@@ -185,7 +185,8 @@ def _joined(spans: str) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k, *_ in BASE]
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k, *_ in BASE]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
