@@ -8,7 +8,8 @@ Two texts agree at a place with probability equal to their weighted Jaccard simi
 followed only until every place has an earlier point, so a text costs about as many steps as it has shingles.
 
 Signatures are banded; in every band bucket all members are measured against the bucket's
-first member, exactly, by multiset overlap.  Jaccard distance is a metric, so a member at distance over
+first member, exactly, by multiset overlap (pairs whose signatures agree at less than 0.4 of the places,
+over four standard deviations under 0.6, are left out).  Jaccard distance is a metric, so a member at distance over
 0.4 from the first cannot be within 0.2 of those that joined it; those between are measured again,
 among themselves and against the joined ones that the triangle inequality leaves open.  So no link between
 bucket members is lost, and no bucket is expanded into all its pairs unless all those distances are undecided.
@@ -33,6 +34,7 @@ PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
 SIMILARITY = 0.8
 RUN_BYTES = 1_000_000
+SMALL = 32  # members up to which a bucket is measured pair by pair, from the second round on
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, times: np.ndarray, n_docs: int, places: int = PLACES) -> np.ndarray:
@@ -94,19 +96,22 @@ def _runs(texts: list[bytes]):
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """``text_id, bands`` from ``text_id, text`` (binary)."""
+    """``text_id, digest, bands, mark`` from ``text_id, text`` (binary); mark has a byte of each place of the signature."""
+    import hashlib
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, digests, marks = [], [], []
             for texts in _runs(batch.column(1).to_pylist()):
                 doc, key, times = shingles.shingle_counts(texts)
-                keys = band_keys(signatures(doc, key, times, len(texts)))
+                places = signatures(doc, key, times, len(texts))
                 has = np.bincount(doc, minlength=len(texts)) > 0
-                rows += [k.tolist() if yes else [] for k, yes in zip(keys, has)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["text_id", "bands"])
+                rows += [k.tolist() if yes else [] for k, yes in zip(band_keys(places), has)]
+                marks += [m.tobytes() for m in places.astype(np.uint8)]
+                digests += [hashlib.sha256(t).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["text_id", "digest", "bands", "mark"])
 
-    return docs.mapInArrow(run, "text_id long, bands array<long>")
+    return docs.mapInArrow(run, "text_id long, digest binary, bands array<long>, mark binary")
 
 
 def _elements(docs: DataFrame) -> DataFrame:
@@ -131,69 +136,102 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (1 - shared / (F.size("x") + F.size("y") - shared)).alias("distance"))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, class_id`` for ``nodes`` (column id): the least id reachable over ``links`` (a, b).
+def components(links: DataFrame) -> DataFrame:
+    """``id, class_id`` of all ends of ``links`` (a, b): the least id reachable over them.
 
     Each round takes the least class around and then the class's own class, so long chains halve.
     """
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    ids = both.select(F.col("a").alias("id")).distinct()
-    label = stored(ids.withColumn("class_id", F.col("id")), "labels")
+    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("class_id")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
-        lower = label.join(near, "id").select("id", F.least("class_id", "near").alias("new"), F.col("class_id").alias("old"))
-        lower = stored(lower, "lower")
+        lower = stored(label.join(near, "id").select("id", F.least("class_id", "near").alias("new"), F.col("class_id").alias("old")), "lower")
+        if lower.where("new <> old").isEmpty():
+            return label
         jump = lower.select(F.col("id").alias("new"), F.col("new").alias("above"))
-        nxt = stored(lower.join(jump, "new").select("id", F.least("new", "above").alias("class_id"), "old"), "labels")
-        if nxt.where("class_id <> old").isEmpty():
-            break
-        label = nxt.select("id", "class_id")
-    return nodes.join(label, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+        label = stored(lower.join(jump, "new").select("id", F.least("new", "above").alias("class_id")), "labels")
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose signatures agree at a share of ``least`` places or more, judged on a byte of each place."""
+    both = pairs.join(marks.select(F.col("text_id").alias("b"), F.col("mark").alias("y")), "b").join(marks.select(F.col("text_id").alias("a"), F.col("mark").alias("x")), "a").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(j).to_pylist()), np.uint8).reshape(-1, PLACES) for j in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, n_links``: class_id is the least doc_id of the class; n_links counts near texts met (not copies)."""
-    far, undecided = 1 - similarity, 2 * (1 - similarity)
+    """``doc_id, class_id, text_id``: class_id is the least doc_id of the class, text_id the least one with the same text.
+
+    A round measures bucket members against their bucket's first one (buckets of at most SMALL members: all
+    pairs) and joins what is near; buckets whose members are one class are finished.
+    """
+    far, undecided = 1 - similarity + 1e-9, 2 * (1 - similarity) + 1e-9
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     # equal texts are one; the least doc_id stands for them
-    named = stored(docs.select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
-    copies = stored(named.groupBy("digest").agg(F.min("doc_id").alias("text_id")).join(named, "digest").select("doc_id", "text_id"), "copies")
     banded = stored(_banded(docs.withColumnRenamed("doc_id", "text_id")), "bands")
-    single = banded.dropDuplicates(["text_id"]).join(copies.select("text_id").distinct(), "text_id", "left_semi")
+    copies = stored(banded.groupBy("digest").agg(F.min("text_id").alias("least")).join(banded.select("digest", F.col("text_id").alias("doc_id")), "digest").select("doc_id", F.col("least").alias("text_id")), "copies")
+    texts = copies.select("text_id").distinct()
+    single = stored(banded.dropDuplicates(["text_id"]).join(texts, "text_id", "left_semi"), "single")
     buckets = single.select("text_id", F.posexplode("bands").alias("band", "key"))
     # a bucket of one text links nothing
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("text_id").alias("first")).where("n > 1")
-    members = stored(buckets.join(sizes, ["band", "key"]).select("band", "key", "text_id", "first"), "members")
-    wanted = members.select("text_id").distinct()
+    active = stored(buckets.join(sizes, ["band", "key"]).select("band", "key", "text_id", "first", "n"), "members")
+    wanted = active.select("text_id").distinct()
+    marks = stored(single.join(wanted, "text_id", "left_semi").select("text_id", "mark"), "marks")
     sets = stored(_elements(docs.withColumnRenamed("doc_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])), "elements")
 
-    links, asked, active = None, None, members
+    known = links = classes = None
+    least = 1 - undecided - 0.2  # no pair with similarity 1 - undecided agrees so rarely (over four standard deviations)
+    bucket = ["band", "key", "first"]
+    round_ = 0
     while True:
-        pairs = active.where("text_id <> first").select(F.col("first").alias("a"), F.col("text_id").alias("b")).distinct()
-        known = _measured(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), sets)
-        known = stored(known, "distances")
-        asked = known if asked is None else asked.unionByName(known)
-        found = known.where(F.col("distance") <= far + 1e-9).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        placed = active.join(asked.select(F.col("a").alias("first"), F.col("b").alias("text_id"), "distance"), ["first", "text_id"])
-        rest = placed.where(F.col("distance") > far + 1e-9)
-        if rest.isEmpty():
-            break
-        rest = stored(rest, "rest")
+        round_ += 1
+        pairs = active.where("text_id <> first").select(F.col("first").alias("a"), F.col("text_id").alias("b"))
+        if classes is not None:
+            other = active.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("class_id", F.coalesce("class_id", "text_id"))
+            other = stored(other.where(F.col("n") <= SMALL), "small")
+            right = other.select(*bucket, F.col("text_id").alias("b"), F.col("class_id").alias("d"))
+            met = other.select(*bucket, F.col("text_id").alias("a"), F.col("class_id").alias("c")).join(right, bucket).where("a < b and c <> d")
+            pairs = active.where((F.col("n") > SMALL) & (F.col("text_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("text_id").alias("b")).union(met.select("a", "b"))
+        pairs = pairs.distinct()
+        if known is not None:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        measured = stored(_measured(_alike(pairs, marks, least), sets), "distances")
+        known = measured if known is None else stored(known.unionByName(measured), "known")
+        placed = active
+        if classes is not None:
+            placed = active.where(F.col("n") > SMALL)
+        placed = placed.where("text_id <> first").join(known.select(F.col("a").alias("first"), F.col("b").alias("text_id"), "distance"), ["first", "text_id"], "left")
+        links = stored(known.where(F.col("distance") <= far).select("a", "b"), "near")
+        classes = stored(components(links), "classes")
+        of = lambda df, name, out: df.join(classes.select(F.col("id").alias(name), F.col("class_id").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
+        placed = of(of(placed, "text_id", "c"), "first", "c0")
+        # a bucket goes on if a member that is not near the first belongs to another class
+        apart = F.coalesce("distance", F.lit(1.0)) > far
+        going = placed.where(apart & (F.col("c") != F.col("c0"))).select(*bucket).distinct()
+        placed = stored(placed.join(going, bucket, "left_semi"), "placed")
         # undecided members against the joined ones that the triangle inequality leaves open
-        near = placed.where(F.col("distance") <= far + 1e-9).select("band", "key", "first", F.col("text_id").alias("a"), F.col("distance").alias("near"))
-        maybe = rest.where(F.col("distance") <= undecided + 1e-9).select("band", "key", "first", F.col("text_id").alias("b"), "distance")
-        open_ = maybe.join(near, ["band", "key", "first"]).where(F.col("distance") - F.col("near") <= far + 1e-9)
-        open_ = open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-        more = stored(_measured(open_, sets), "undecided")
-        asked = asked.unionByName(more)
-        links = links.unionByName(more.where(F.col("distance") <= far + 1e-9).select("a", "b"))
-        heads = rest.groupBy("band", "key", "first").agg(F.min("text_id").alias("next"), F.count("*").alias("n")).where("n > 1")
-        active = stored(rest.join(heads, ["band", "key", "first"]).select("band", "key", "text_id", F.col("next").alias("first")), "members")
-    links = stored(links.distinct(), "near")
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = components(copies.select(F.col("text_id").alias("id")).distinct(), links).join(degree, "id", "left")
-    return copies.join(classes, copies["text_id"] == classes["id"]).select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        near = placed.where(~apart).select(*bucket, F.col("text_id").alias("x"), F.col("distance").alias("near"), F.col("c").alias("cx"))
+        maybe = placed.where(apart & (F.col("distance") <= undecided)).select(*bucket, F.col("text_id").alias("y"), "distance", F.col("c").alias("cy"))
+        open_ = maybe.join(near, bucket).where((F.col("distance") - F.col("near") <= far) & (F.col("cx") != F.col("cy")))
+        open_ = open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+        more = stored(_measured(_alike(open_, marks, 1 - far - 0.2), sets), "undecided")
+        if not more.where(F.col("distance") <= far).isEmpty():
+            known = stored(known.unionByName(more), "known")
+            links = stored(known.where(F.col("distance") <= far).select("a", "b"), "near")
+            classes = stored(components(links), "classes")
+        rest = placed.where(apart)
+        heads = rest.groupBy(*bucket).agg(F.min("text_id").alias("next"), F.count("*").alias("m"), F.countDistinct("c").alias("k")).where("k > 1")
+        active = stored(rest.join(heads, bucket).select("band", "key", "text_id", F.col("next").alias("first"), F.col("m").alias("n")), "members")
+        if active.isEmpty():
+            break
+    out = copies.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id")
 
 
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

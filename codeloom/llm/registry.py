@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "pii", "token_counts", "near_duplicates", "decontaminate", "quality", "url_filter")
+MODULES = ("packing", "pii", "token_counts", "near_duplicates", "decontaminate", "quality", "language_model", "url_filter")
 
 
 def _all(what: str) -> dict:
