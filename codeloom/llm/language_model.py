@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import blobs, shingles
 from .common import shards_for, table
 
-RUN_BYTES = 12_000_000
+RUN_BYTES = 8_000_000
 SAMPLE_ROWS = 2_000  # rows that decide which contexts are spread over shards: balance only, never results
 START, END = np.uint64(1), np.uint64(2)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

@@ -8,7 +8,7 @@ Two texts agree at a place with probability equal to their weighted Jaccard simi
 followed only until every place has an earlier point, so a text costs about as many steps as it has shingles.
 
 Signatures are banded; in every band bucket all members are measured against the bucket's
-first member, exactly, by multiset overlap (pairs whose signatures agree at less than 0.4 of the places,
+first member (the one that shares most buckets), exactly, by multiset overlap (pairs whose signatures agree at less than 0.4 of the places,
 over four standard deviations under 0.6, are left out).  Jaccard distance is a metric, so a member at distance over
 0.4 from the first cannot be within 0.2 of those that joined it; those between are measured again,
 among themselves and against the joined ones that the triangle inequality leaves open.  So no link between
@@ -34,7 +34,7 @@ PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
 SIMILARITY = 0.8
 RUN_BYTES = 1_000_000
-SMALL = 32  # members up to which a bucket is measured pair by pair, from the second round on
+SMALL = 128  # members up to which a bucket is measured pair by pair, from the second round on
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, times: np.ndarray, n_docs: int, places: int = PLACES) -> np.ndarray:
@@ -179,9 +179,13 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
     single = stored(banded.dropDuplicates(["text_id"]).join(texts, "text_id", "left_semi"), "single")
     buckets = single.select("text_id", F.posexplode("bands").alias("band", "key"))
     # a bucket of one text links nothing
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("text_id").alias("first")).where("n > 1")
-    active = stored(buckets.join(sizes, ["band", "key"]).select("band", "key", "text_id", "first", "n"), "members")
-    wanted = active.select("text_id").distinct()
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(buckets.join(sizes, ["band", "key"]), "shared")
+    # the text that meets most others leads: the one that copies were made from is near all of them
+    wanted = stored(shared.groupBy("text_id").agg((-F.sum("n")).alias("rank")), "wanted")
+    shared = shared.join(wanted, "text_id")
+    lead = shared.groupBy("band", "key").agg(F.min(F.struct("rank", "text_id")).alias("lead"))
+    active = stored(shared.join(lead, ["band", "key"]).select("band", "key", "text_id", F.col("lead.text_id").alias("first"), "n", "rank"), "members")
     marks = stored(single.join(wanted, "text_id", "left_semi").select("text_id", "mark"), "marks")
     sets = stored(_elements(docs.withColumnRenamed("doc_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])), "elements")
 
@@ -198,7 +202,7 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
             right = other.select(*bucket, F.col("text_id").alias("b"), F.col("class_id").alias("d"))
             met = other.select(*bucket, F.col("text_id").alias("a"), F.col("class_id").alias("c")).join(right, bucket).where("a < b and c <> d")
             pairs = active.where((F.col("n") > SMALL) & (F.col("text_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("text_id").alias("b")).union(met.select("a", "b"))
-        pairs = pairs.distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         measured = stored(_measured(_alike(pairs, marks, least), sets), "distances")
@@ -206,7 +210,7 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
         placed = active
         if classes is not None:
             placed = active.where(F.col("n") > SMALL)
-        placed = placed.where("text_id <> first").join(known.select(F.col("a").alias("first"), F.col("b").alias("text_id"), "distance"), ["first", "text_id"], "left")
+        placed = placed.where("text_id <> first").withColumn("a", F.least("first", "text_id")).withColumn("b", F.greatest("first", "text_id")).join(known, ["a", "b"], "left").drop("a", "b")
         links = stored(known.where(F.col("distance") <= far).select("a", "b"), "near")
         classes = stored(components(links), "classes")
         of = lambda df, name, out: df.join(classes.select(F.col("id").alias(name), F.col("class_id").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
@@ -226,8 +230,8 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
             links = stored(known.where(F.col("distance") <= far).select("a", "b"), "near")
             classes = stored(components(links), "classes")
         rest = placed.where(apart)
-        heads = rest.groupBy(*bucket).agg(F.min("text_id").alias("next"), F.count("*").alias("m"), F.countDistinct("c").alias("k")).where("k > 1")
-        active = stored(rest.join(heads, bucket).select("band", "key", "text_id", F.col("next").alias("first"), F.col("m").alias("n")), "members")
+        heads = rest.groupBy(*bucket).agg(F.min(F.struct("rank", "text_id")).alias("next"), F.count("*").alias("m"), F.countDistinct("c").alias("k")).where("k > 1")
+        active = stored(rest.join(heads, bucket).select("band", "key", "text_id", F.col("next.text_id").alias("first"), F.col("m").alias("n"), "rank"), "members")
         if active.isEmpty():
             break
     out = copies.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")

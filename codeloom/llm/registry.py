@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "pii", "token_counts", "near_duplicates", "decontaminate", "quality", "language_model", "url_filter")
+MODULES = ("substring_dedup", "packing", "pii", "token_counts", "near_duplicates", "decontaminate", "quality", "language_model", "url_filter")
 
 
 def _all(what: str) -> dict:
@@ -15,8 +15,12 @@ def _all(what: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    import corpus_pipeline
+
+    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLE_SQL")
+    import corpus_pipeline
+
+    return _all("ORACLE_SQL") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
