@@ -1,0 +1,11 @@
+"""Text functions on columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def head_word(name: Column) -> Column:
+    """The leading letters of an identifier, in lower case."""
+    return F.lower(F.regexp_extract(name, "^[A-Za-z]+", 0))
