@@ -113,12 +113,13 @@ def query_graph(symbols: DataFrame, edges: DataFrame, text: str, limit: int = 10
     def condition() -> Column:
         left = column(*p.property())
         folded = F.lower(left.cast("string"))
+        like = lambda v: v.lower().replace("\\", "\\\\")  # _ and % stay wildcards
         if p.take("contains"):
-            return folded.contains(p.value().lower())
-        for side, test in (("starts", folded.startswith), ("ends", folded.endswith)):
+            return folded.like("%" + like(p.value()) + "%")
+        for side, test in (("starts", "{}%"), ("ends", "%{}")):
             if p.take(side):
                 p.need("with")
-                return test(p.value().lower())
+                return folded.like(test.format(like(p.value())))
         if p.take("in"):
             close = "]" if p.take("[") else ")"
             if close == ")":
