@@ -35,8 +35,8 @@ from .common import shards_for, table
 from .shingles import mix
 
 SPAN, Q = 50, 24
-RUN_BYTES = 12_000_000
-SEGMENT = 1_000_000  # windows hashed at once
+RUN_BYTES = 3_000_000
+SEGMENT = 250_000  # windows hashed at once
 
 
 def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
@@ -87,7 +87,7 @@ def stretches(text: bytes, span: int = SPAN, q: int = Q) -> tuple[np.ndarray, np
             for k in range(0, 2 * span, q):  # q-grams that cover it, the last one at its end
                 at = np.minimum(first + k, end - q)
                 g = mix(g * np.uint64(0xD6E8FEB86659FD93) + h[at])
-        parts.append((mix(h[anchor[first]]), g, first + a, stop - first))
+        parts.append((mix(h[anchor[first]]), g >> np.uint64(16), first + a, stop - first))  # 112 bits tell stretches apart
     if not parts:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -151,6 +151,10 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     shards = shards_for(spark)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    if rows.isEmpty():
+        return spark.createDataFrame([], schema)
+
     # partitions 0 .. shards-1 receive anchors, shards .. 2*shards-1 receive documents
     def send(batches):
         for batch in batches:
@@ -287,7 +291,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
             take = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
             yield int(p[6][0]), blobs.pack(p[7][at], where, p[2][at], first, count, home.docs[k][3][take], np.array([int(p[0][0]), index]))
 
-    asked = blobs.resent(replied_with_docs := blobs.together(replied, sent).mapPartitionsWithIndex(undecided), 2 * shards)
+    asked = blobs.resent(blobs.together(replied, sent).mapPartitionsWithIndex(undecided), 2 * shards)
 
     def refine(pairs):
         messages = [b for _, b in pairs]
@@ -338,7 +342,6 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
                 row = (d, n, removed, spans, hashlib.sha256(kept).hexdigest())
                 yield (*row, kept) if with_text else row
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return spark.createDataFrame(blobs.together(replied, refined, sent).mapPartitionsWithIndex(finish), schema, verifySchema=False)
 
 
