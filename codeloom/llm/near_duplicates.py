@@ -7,13 +7,13 @@ up to w count.  Each point falls on one of the signature's places; a place keeps
 Two texts agree at a place with probability equal to their weighted Jaccard similarity.  Processes are
 followed only until every place has an earlier point, so a text costs about as many steps as it has shingles.
 
-Signatures are banded; in every band bucket all members are measured against the bucket's
-first member (the one that shares most buckets), exactly, by multiset overlap (pairs whose signatures agree at less than 0.4 of the places,
-over four standard deviations under 0.6, are left out).  Jaccard distance is a metric, so a member at distance over
-0.4 from the first cannot be within 0.2 of those that joined it; those between are measured again,
-among themselves and against the joined ones that the triangle inequality leaves open.  So no link between
-bucket members is lost, and no bucket is expanded into all its pairs unless all those distances are undecided.
-Links become classes by connected components.
+Signatures are banded; buckets with the same members count once.  A task holds at most two blocks of
+BLOCK bucket members and compares their signatures, in three passes: each text with its best partner in its
+block; each text with its best partner of another class, over all pairs of blocks that hold different classes;
+at last every such pair that is left.  What a pass proposes (signatures agree at similarity - 0.16 of the
+places or more, over four standard deviations under it) is measured exactly, by multiset overlap, and links become
+classes by connected components.  Buckets of one class are finished, and members of one class are
+never paired, so a large group of copies is not expanded into its pairs and no link between classes is lost.
 
 Edge cases: equal texts are one class whatever their length (null counts as empty); a text of fewer than five words is
 one shingle; texts without words are near nothing but their equals; repeated rows repeat;
@@ -34,7 +34,7 @@ PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
 SIMILARITY = 0.8
 RUN_BYTES = 1_000_000
-SMALL = 128  # members up to which a bucket is measured pair by pair, from the second round on
+BLOCK = 512  # bucket members that a task compares at once with as many others
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, times: np.ndarray, n_docs: int, places: int = PLACES) -> np.ndarray:
@@ -152,88 +152,119 @@ def components(links: DataFrame) -> DataFrame:
         label = stored(lower.join(jump, "new").select("id", F.least("new", "above").alias("class_id")), "labels")
 
 
-def _alike(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose signatures agree at a share of ``least`` places or more, judged on a byte of each place."""
-    both = pairs.join(marks.select(F.col("text_id").alias("b"), F.col("mark").alias("y")), "b").join(marks.select(F.col("text_id").alias("a"), F.col("mark").alias("x")), "a").select("a", "b", "x", "y")
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of places at which each row of x agrees with each row of y."""
+    out, step = np.zeros((len(x), len(y)), np.float32), max(1, 8_000_000 // max(1, y.size))
+    for i in range(0, len(x), step):
+        out[i : i + step] = np.count_nonzero(x[i : i + step, None] == y[None], axis=2)
+    return out / x.shape[1]
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(j).to_pylist()), np.uint8).reshape(-1, PLACES) for j in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-    return both.mapInArrow(run, "a long, b long")
+def _proposed(dealt: DataFrame, best: bool, least: float) -> DataFrame:
+    """``x, y, share`` from ``task, block, text_id, c, mark``: pairs of a task's texts with different c.
 
+    A task of two blocks pairs one with the other.  ``best``: for each text only the partner that agrees most.
+    """
 
-def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, text_id``: class_id is the least doc_id of the class, text_id the least one with the same text.
+    def of_group(block, ids, c, mark):
+        inside = block[0] == block[-1] and (block == block[0]).all()
+        left = np.arange(len(ids)) if inside else np.flatnonzero(block == block[0])
+        right = left if inside else np.flatnonzero(block != block[0])
+        share = _agreement(mark[left], mark[right])
+        share[c[left][:, None] == c[right][None]] = 0
+        if best:
+            found = [(left, right[share.argmax(axis=1)], share.max(axis=1))]
+            if not inside:
+                found.append((right, left[share.argmax(axis=0)], share.max(axis=0)))
+        else:
+            i, j = np.nonzero(share >= least)
+            once = left[i] < right[j] if inside else np.ones(len(i), bool)
+            found = [(left[i][once], right[j][once], share[i, j][once])]
+        for x, y, s in found:
+            ok = s >= least
+            yield ids[x[ok]], ids[y[ok]], s[ok]
 
-    A round measures bucket members against their bucket's first one (buckets of at most SMALL members: all
-    pairs) and joins what is near; buckets whose members are one class are finished.
+    def run(batches):
+        carry = None
+        for batch in batches:
+            task, block, ids, c = (batch.column(j).to_numpy() for j in range(4))
+            mark = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, PLACES)
+            new = [task, block, ids, c, mark]
+            if carry is not None:
+                new = [np.concatenate(z) for z in zip(carry, new)]
+            at = np.flatnonzero(np.append(True, new[0][1:] != new[0][:-1])) if len(new[0]) else np.zeros(1, int)
+            yield from over([z[: at[-1]] for z in new], at)
+            carry = [z[at[-1] :] for z in new]
+        if carry is not None and len(carry[0]):
+            yield from over(carry, np.array([0, len(carry[0])]))
+
+    def over(columns, at):
+        out = []
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            if j - i > 1:
+                out += of_group(*(z[i:j] for z in columns[1:]))
+        if out:
+            x, y, s = (np.concatenate(z) for z in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s.astype(float))], ["x", "y", "share"])
+
+    ordered = dealt.select("task", "block", "text_id", "c", "mark").repartition("task").sortWithinPartitions("task")
+    return ordered.mapInArrow(run, "x long, y long, share double")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """``task, block, text_id, c``: bucket members (b, text_id, c) dealt to tasks that cover all pairs of different c.
+
+    A class with over BLOCK members in a bucket has blocks of its own, never paired with each other; other classes share blocks.
     """
-    far, undecided = 1 - similarity + 1e-9, 2 * (1 - similarity) + 1e-9
+    mixed = members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
+    members = stored(members.join(mixed, "b", "left_semi"), "mixed")
+    per = stored(members.groupBy("b", "c").agg(F.count("*").alias("k")), "per-class")
+    shared = per.where(F.col("k") <= BLOCK).groupBy("b").agg(F.ceil(F.sum("k") / BLOCK).alias("parts"))
+    block = F.when(F.col("k") > BLOCK, F.xxhash64("c", F.pmod(F.xxhash64("text_id"), F.ceil(F.col("k") / BLOCK)))).otherwise(F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("c"), F.col("parts"))))
+    placed = members.join(per.join(shared, "b", "left"), ["b", "c"]).select("b", "text_id", "c", block.alias("block"), F.when(F.col("k") > BLOCK, F.col("c")).alias("own"))
+    placed = stored(placed, "placed")
+    blocks = placed.select("b", "block", "own").distinct()
+    p, q = blocks.toDF("b", "p", "po"), blocks.toDF("b", "q", "qo")
+    pairs = p.join(q, (p["b"] == q["b"]) & (F.col("p") <= F.col("q")) & ~F.coalesce(F.col("po") == F.col("qo"), F.lit(False))).select(p["b"], "p", "q")
+    task = F.xxhash64("b", "p", "q").alias("task")
+    return placed.join(pairs.select("b", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"), task), ["b", "block"]).select("task", "block", "text_id", "c")
+
+
+def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, text_id``: class_id is the least doc_id of the class, text_id the least one with the same text."""
+    far, least = 1 - similarity + 1e-9, similarity - 0.16
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     # equal texts are one; the least doc_id stands for them
     banded = stored(_banded(docs.withColumnRenamed("doc_id", "text_id")), "bands")
     copies = stored(banded.groupBy("digest").agg(F.min("text_id").alias("least")).join(banded.select("digest", F.col("text_id").alias("doc_id")), "digest").select("doc_id", F.col("least").alias("text_id")), "copies")
     texts = copies.select("text_id").distinct()
     single = stored(banded.dropDuplicates(["text_id"]).join(texts, "text_id", "left_semi"), "single")
-    buckets = single.select("text_id", F.posexplode("bands").alias("band", "key"))
-    # a bucket of one text links nothing
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(buckets.join(sizes, ["band", "key"]), "shared")
-    # the text that meets most others leads: the one that copies were made from is near all of them
-    wanted = stored(shared.groupBy("text_id").agg((-F.sum("n")).alias("rank")), "wanted")
-    shared = shared.join(wanted, "text_id")
-    lead = shared.groupBy("band", "key").agg(F.min(F.struct("rank", "text_id")).alias("lead"))
-    active = stored(shared.join(lead, ["band", "key"]).select("band", "key", "text_id", F.col("lead.text_id").alias("first"), "n", "rank"), "members")
+    buckets = single.select("text_id", F.explode("bands").alias("b"))
+    # a bucket of one text links nothing; buckets with the same members are one
+    sizes = buckets.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_id")).alias("h1"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("h2")).where("n > 1")
+    sizes = sizes.groupBy("n", "h1", "h2").agg(F.min("b").alias("b")).select("b", "n")
+    members = stored(buckets.join(sizes, "b"), "members")
+    wanted = stored(members.select("text_id").distinct(), "wanted")
     marks = stored(single.join(wanted, "text_id", "left_semi").select("text_id", "mark"), "marks")
     sets = stored(_elements(docs.withColumnRenamed("doc_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])), "elements")
 
-    known = links = classes = None
-    least = 1 - undecided - 0.2  # no pair with similarity 1 - undecided agrees so rarely (over four standard deviations)
-    bucket = ["band", "key", "first"]
-    round_ = 0
-    while True:
-        round_ += 1
-        pairs = active.where("text_id <> first").select(F.col("first").alias("a"), F.col("text_id").alias("b"))
-        if classes is not None:
-            other = active.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("class_id", F.coalesce("class_id", "text_id"))
-            other = stored(other.where(F.col("n") <= SMALL), "small")
-            right = other.select(*bucket, F.col("text_id").alias("b"), F.col("class_id").alias("d"))
-            met = other.select(*bucket, F.col("text_id").alias("a"), F.col("class_id").alias("c")).join(right, bucket).where("a < b and c <> d")
-            pairs = active.where((F.col("n") > SMALL) & (F.col("text_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("text_id").alias("b")).union(met.select("a", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = classes = None
+    for best in (True, True, False):
+        if classes is None:
+            block = F.xxhash64("b", F.pmod(F.xxhash64("text_id", "b"), F.ceil(F.col("n") / BLOCK)))
+            dealt = members.select(block.alias("task"), F.lit(0).cast("long").alias("block"), "text_id", F.col("text_id").alias("c"))
+        else:
+            of = members.select("b", "text_id").join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
+            dealt = _blocks(of.select("b", "text_id", F.coalesce("class_id", "text_id").alias("c")))
+        found = _proposed(dealt.join(marks, "text_id"), best, least)
+        if best:
+            found = found.groupBy("x").agg(F.max_by("y", F.struct("share", F.xxhash64("y"))).alias("y"))
+        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        measured = stored(_measured(_alike(pairs, marks, least), sets), "distances")
+        measured = stored(_measured(stored(pairs, "pairs"), sets), "distances")
         known = measured if known is None else stored(known.unionByName(measured), "known")
-        placed = active
-        if classes is not None:
-            placed = active.where(F.col("n") > SMALL)
-        placed = placed.where("text_id <> first").withColumn("a", F.least("first", "text_id")).withColumn("b", F.greatest("first", "text_id")).join(known, ["a", "b"], "left").drop("a", "b")
-        links = stored(known.where(F.col("distance") <= far).select("a", "b"), "near")
-        classes = stored(components(links), "classes")
-        of = lambda df, name, out: df.join(classes.select(F.col("id").alias(name), F.col("class_id").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
-        placed = of(of(placed, "text_id", "c"), "first", "c0")
-        # a bucket goes on if a member that is not near the first belongs to another class
-        apart = F.coalesce("distance", F.lit(1.0)) > far
-        going = placed.where(apart & (F.col("c") != F.col("c0"))).select(*bucket).distinct()
-        placed = stored(placed.join(going, bucket, "left_semi"), "placed")
-        # undecided members against the joined ones that the triangle inequality leaves open
-        near = placed.where(~apart).select(*bucket, F.col("text_id").alias("x"), F.col("distance").alias("near"), F.col("c").alias("cx"))
-        maybe = placed.where(apart & (F.col("distance") <= undecided)).select(*bucket, F.col("text_id").alias("y"), "distance", F.col("c").alias("cy"))
-        open_ = maybe.join(near, bucket).where((F.col("distance") - F.col("near") <= far) & (F.col("cx") != F.col("cy")))
-        open_ = open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        more = stored(_measured(_alike(open_, marks, 1 - far - 0.2), sets), "undecided")
-        if not more.where(F.col("distance") <= far).isEmpty():
-            known = stored(known.unionByName(more), "known")
-            links = stored(known.where(F.col("distance") <= far).select("a", "b"), "near")
-            classes = stored(components(links), "classes")
-        rest = placed.where(apart)
-        heads = rest.groupBy(*bucket).agg(F.min(F.struct("rank", "text_id")).alias("next"), F.count("*").alias("m"), F.countDistinct("c").alias("k")).where("k > 1")
-        active = stored(rest.join(heads, bucket).select("band", "key", "text_id", F.col("next.text_id").alias("first"), F.col("m").alias("n"), "rank"), "members")
-        if active.isEmpty():
-            break
+        classes = components(known.where(F.col("distance") <= far))
     out = copies.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id")
 
