@@ -10,9 +10,9 @@ followed only until every place has an earlier point, so a text costs about as m
 Signatures are banded; buckets with the same members count once.  A task holds at most two blocks of
 BLOCK bucket members and compares their signatures, in three passes: each text with its best partner in its
 block; each text with its best partner of another class, over all pairs of blocks that hold different classes;
-at last every such pair that is left.  What a pass proposes (signatures agree at similarity - 0.16 of the
-places or more, over four standard deviations under it) is measured exactly, by multiset overlap, and links become
-classes by connected components.  Buckets of one class are finished, and members of one class are
+at last every such pair that is left, now judged by a finer sketch (the least hash of each of BINS bins, which is
+nearly the whole multiset for a short text).  What a pass proposes (estimates less than SURE standard deviations
+under the similarity) is measured exactly, by multiset overlap, and links become classes by connected components.  Buckets of one class are finished, and members of one class are
 never paired, so a large group of copies is not expanded into its pairs and no link between classes is lost.
 
 Edge cases: equal texts are one class whatever their length (null counts as empty); a text of fewer than five words is
@@ -31,9 +31,13 @@ from . import shingles
 from .common import stored, table
 
 PLACES, ROWS = 128, 4
+FIRST_BANDS = 4  # bands of the first pass; the others take all
 BANDS = PLACES // ROWS
 SIMILARITY = 0.8
+MOST = np.uint64(2**64 - 1)
 RUN_BYTES = 1_000_000
+BINS = 1024  # places of the sketch that the last pass goes by
+SURE = 4.5  # standard deviations that an estimate may lie under the similarity
 BLOCK = 512  # bucket members that a task compares at once with as many others
 
 
@@ -115,17 +119,19 @@ def _banded(docs: DataFrame) -> DataFrame:
 
 
 def _elements(docs: DataFrame) -> DataFrame:
-    """``text_id, elements``: the shingle multiset as a set of hashes."""
+    """``text_id, elements, sketch``: the shingle multiset as a set of hashes."""
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, short = [], []
             for texts in _runs(batch.column(1).to_pylist()):
                 doc, element = shingles.elements(*shingles.shingle_counts(texts))
-                rows += [x for x in np.split(element.view(np.int64), np.searchsorted(doc, np.arange(1, len(texts))))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["text_id", "elements"])
+                short += [x.tobytes() for x in sketches(doc, element, len(texts))]
+                order = np.argsort(doc, kind="stable")
+                rows += [x for x in np.split(element[order].view(np.int64), np.searchsorted(doc[order], np.arange(1, len(texts))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["text_id", "elements", "sketch"])
 
-    return docs.mapInArrow(run, "text_id long, elements array<long>")
+    return docs.mapInArrow(run, "text_id long, elements array<long>, sketch binary")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,44 +158,70 @@ def components(links: DataFrame) -> DataFrame:
         label = stored(lower.join(jump, "new").select("id", F.least("new", "above").alias("class_id")), "labels")
 
 
-def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of places at which each row of x agrees with each row of y."""
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of places at which each row of x equals each row of y."""
     out, step = np.zeros((len(x), len(y)), np.float32), max(1, 8_000_000 // max(1, y.size))
     for i in range(0, len(x), step):
         out[i : i + step] = np.count_nonzero(x[i : i + step, None] == y[None], axis=2)
-    return out / x.shape[1]
+    return out
 
 
-def _proposed(dealt: DataFrame, best: bool, least: float) -> DataFrame:
-    """``x, y, share`` from ``task, block, text_id, c, mark``: pairs of a task's texts with different c.
+def _by_signature(x, y, n, m, similarity: float) -> np.ndarray:
+    """How far the share of equal places lies over the least one that a pair of ``similarity`` can have; under 0: no link."""
+    return _equal(x, y) / x.shape[1] - (similarity - SURE * (similarity * (1 - similarity) / x.shape[1]) ** 0.5)
 
-    A task of two blocks pairs one with the other.  ``best``: for each text only the partner that agrees most.
+
+def _by_sketch(x, y, n, m, similarity: float) -> np.ndarray:
+    """The same for sketches of multisets of n and m elements; bins are drawn without replacement, so small unions are nearly exact."""
+    empty = (x == 0).astype(np.float32) @ (y == 0).astype(np.float32).T
+    filled = np.maximum(1, x.shape[1] - empty)
+    union = (n[:, None] + m[None]) / (1 + similarity)  # if the pair has just that similarity
+    spread = np.sqrt(similarity * (1 - similarity) / filled * np.clip(1 - filled / union, 0, 1))
+    score = (_equal(x, y) - empty) / filled - (similarity - 0.01 - SURE * spread)
+    small, large = np.minimum(n[:, None], m[None]), np.maximum(n[:, None], m[None])
+    return np.where(small < (similarity - 1e-9) * large, -1, score)
+
+
+def sketches(doc: np.ndarray, element: np.ndarray, n_docs: int) -> np.ndarray:
+    """A byte (1 to 255) of the least hash of each bin of each text, 0 for empty bins."""
+    hashed = shingles.mix(element ^ np.uint64(0x9FB21C651E98DF25))
+    slot = doc * BINS + (hashed % np.uint64(BINS)).astype(np.int64)
+    least = np.full(n_docs * BINS, MOST, np.uint64)
+    np.minimum.at(least, slot, hashed >> np.uint64(10))
+    byte = (shingles.mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return np.where(least == MOST, 0, byte).astype(np.uint8).reshape(n_docs, BINS)
+
+
+def _proposed(dealt: DataFrame, best: bool, judge, similarity: float) -> DataFrame:
+    """``x, y, share`` from ``task, block, text_id, c, mark, n``: pairs of a task's texts with different c.
+
+    A task of two blocks pairs one with the other.  ``best``: for each text only the partner that agrees most.  ``judge`` rates all pairs; those of 0 or more are proposed.
     """
 
-    def of_group(block, ids, c, mark):
+    def of_group(block, ids, c, mark, n):
         inside = block[0] == block[-1] and (block == block[0]).all()
         left = np.arange(len(ids)) if inside else np.flatnonzero(block == block[0])
         right = left if inside else np.flatnonzero(block != block[0])
-        share = _agreement(mark[left], mark[right])
-        share[c[left][:, None] == c[right][None]] = 0
+        share = judge(mark[left], mark[right], n[left], n[right], similarity)
+        share[c[left][:, None] == c[right][None]] = -1
         if best:
             found = [(left, right[share.argmax(axis=1)], share.max(axis=1))]
             if not inside:
                 found.append((right, left[share.argmax(axis=0)], share.max(axis=0)))
         else:
-            i, j = np.nonzero(share >= least)
+            i, j = np.nonzero(share >= 0)
             once = left[i] < right[j] if inside else np.ones(len(i), bool)
             found = [(left[i][once], right[j][once], share[i, j][once])]
         for x, y, s in found:
-            ok = s >= least
+            ok = s >= 0
             yield ids[x[ok]], ids[y[ok]], s[ok]
 
     def run(batches):
         carry = None
         for batch in batches:
             task, block, ids, c = (batch.column(j).to_numpy() for j in range(4))
-            mark = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, PLACES)
-            new = [task, block, ids, c, mark]
+            mark = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            new = [task, block, ids, c, mark, batch.column(5).to_numpy()]
             if carry is not None:
                 new = [np.concatenate(z) for z in zip(carry, new)]
             at = np.flatnonzero(np.append(True, new[0][1:] != new[0][:-1])) if len(new[0]) else np.zeros(1, int)
@@ -207,7 +239,7 @@ def _proposed(dealt: DataFrame, best: bool, least: float) -> DataFrame:
             x, y, s = (np.concatenate(z) for z in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s.astype(float))], ["x", "y", "share"])
 
-    ordered = dealt.select("task", "block", "text_id", "c", "mark").repartition("task").sortWithinPartitions("task")
+    ordered = dealt.select("task", "block", "text_id", "c", "mark", "n").repartition("task").sortWithinPartitions("task")
     return ordered.mapInArrow(run, "x long, y long, share double")
 
 
@@ -216,7 +248,9 @@ def _blocks(members: DataFrame) -> DataFrame:
 
     A class with over BLOCK members in a bucket has blocks of its own, never paired with each other; other classes share blocks.
     """
-    mixed = members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
+    once = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_id")).alias("h1"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("h2")]
+    mixed = members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *once).where("lo <> hi")
+    mixed = mixed.groupBy("n", "h1", "h2").agg(F.min("b").alias("b")).select("b")  # buckets with the same members are one
     members = stored(members.join(mixed, "b", "left_semi"), "mixed")
     per = stored(members.groupBy("b", "c").agg(F.count("*").alias("k")), "per-class")
     shared = per.where(F.col("k") <= BLOCK).groupBy("b").agg(F.ceil(F.sum("k") / BLOCK).alias("parts"))
@@ -232,7 +266,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, text_id``: class_id is the least doc_id of the class, text_id the least one with the same text."""
-    far, least = 1 - similarity + 1e-9, similarity - 0.16
+    far = 1 - similarity + 1e-9
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     # equal texts are one; the least doc_id stands for them
     banded = stored(_banded(docs.withColumnRenamed("doc_id", "text_id")), "bands")
@@ -240,23 +274,23 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
     texts = copies.select("text_id").distinct()
     single = stored(banded.dropDuplicates(["text_id"]).join(texts, "text_id", "left_semi"), "single")
     buckets = single.select("text_id", F.explode("bands").alias("b"))
-    # a bucket of one text links nothing; buckets with the same members are one
-    sizes = buckets.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_id")).alias("h1"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("h2")).where("n > 1")
-    sizes = sizes.groupBy("n", "h1", "h2").agg(F.min("b").alias("b")).select("b", "n")
-    members = stored(buckets.join(sizes, "b"), "members")
-    wanted = stored(members.select("text_id").distinct(), "wanted")
-    marks = stored(single.join(wanted, "text_id", "left_semi").select("text_id", "mark"), "marks")
+    shared = stored(buckets.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    wanted = stored(buckets.join(shared, "b", "left_semi").select("text_id").distinct(), "wanted")
+    marks = stored(single.join(wanted, "text_id", "left_semi").select("text_id", "mark", F.lit(0).cast("long").alias("n")), "marks")
     sets = stored(_elements(docs.withColumnRenamed("doc_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])), "elements")
 
     known = classes = None
     for best in (True, True, False):
         if classes is None:
+            # a few bands join most of what belongs together
+            few = single.select("text_id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("b")).join(shared, "b")
             block = F.xxhash64("b", F.pmod(F.xxhash64("text_id", "b"), F.ceil(F.col("n") / BLOCK)))
-            dealt = members.select(block.alias("task"), F.lit(0).cast("long").alias("block"), "text_id", F.col("text_id").alias("c"))
+            dealt = few.select(block.alias("task"), F.lit(0).cast("long").alias("block"), "text_id", F.col("text_id").alias("c"))
         else:
-            of = members.select("b", "text_id").join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
-            dealt = _blocks(of.select("b", "text_id", F.coalesce("class_id", "text_id").alias("c")))
-        found = _proposed(dealt.join(marks, "text_id"), best, least)
+            of = single.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
+            dealt = _blocks(of.select("text_id", F.coalesce("class_id", "text_id").alias("c"), F.explode("bands").alias("b")))
+        rated = marks if best else sets.select("text_id", F.col("sketch").alias("mark"), F.size("elements").cast("long").alias("n"))
+        found = _proposed(dealt.join(rated, "text_id"), best, _by_signature if best else _by_sketch, similarity)
         if best:
             found = found.groupBy("x").agg(F.max_by("y", F.struct("share", F.xxhash64("y"))).alias("y"))
         pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
