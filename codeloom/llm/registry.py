@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("substring_dedup", "packing", "pii", "token_counts", "near_duplicates", "decontaminate", "quality", "language_model", "url_filter")
+MODULES = ("substring_dedup", "packing", "pii", "warc", "token_counts", "near_duplicates", "decontaminate", "quality", "language_model", "url_filter")
 
 
 def _all(what: str) -> dict:
