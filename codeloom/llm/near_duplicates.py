@@ -38,7 +38,7 @@ MOST = np.uint64(2**64 - 1)
 RUN_BYTES = 1_000_000
 BINS = 1024  # places of the sketch that the last pass goes by
 SURE = 4.5  # standard deviations that an estimate may lie under the similarity
-BLOCK = 512  # bucket members that a task compares at once with as many others
+BLOCK = 2048  # bucket members that a task compares at once with as many others: 16 MB of answers, 4 MB of sketches
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, times: np.ndarray, n_docs: int, places: int = PLACES) -> np.ndarray:
@@ -202,7 +202,10 @@ def _proposed(dealt: DataFrame, best: bool, judge, similarity: float) -> DataFra
         inside = block[0] == block[-1] and (block == block[0]).all()
         left = np.arange(len(ids)) if inside else np.flatnonzero(block == block[0])
         right = left if inside else np.flatnonzero(block != block[0])
-        share = judge(mark[left], mark[right], n[left], n[right], similarity)
+        share = np.empty((len(left), len(right)), np.float32)
+        for i in range(0, len(left), 128):  # bounds what the judge holds besides its answer
+            part = left[i : i + 128]
+            share[i : i + 128] = judge(mark[part], mark[right], n[part], n[right], similarity)
         share[c[left][:, None] == c[right][None]] = -1
         if best:
             found = [(left, right[share.argmax(axis=1)], share.max(axis=1))]
