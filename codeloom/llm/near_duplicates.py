@@ -8,10 +8,10 @@ Two texts agree at a place with probability equal to their weighted Jaccard simi
 followed only until every place has an earlier point, so a text costs about as many steps as it has shingles.
 
 Signatures are banded; buckets with the same members count once.  A task holds at most two blocks of
-BLOCK bucket members and compares their signatures, in three passes: each text with its best partner in its
-block; each text with its best partner of another class, over all pairs of blocks that hold different classes;
-at last every such pair that is left, now judged by a finer sketch (the least hash of each of BINS bins, which is
-nearly the whole multiset for a short text).  What a pass proposes (estimates less than SURE standard deviations
+BLOCK bucket members and compares them in passes: each text with its best partner in its block, by signatures;
+each text with its best partner of another class, over all pairs of blocks that hold different classes, as often as
+that joins classes; at last every such pair that is left.  The later passes go by a finer sketch (the least hash of
+each of BINS bins, which is nearly the whole multiset for a short text).  What a pass proposes (estimates less than SURE standard deviations
 under the similarity) is measured exactly, by multiset overlap, and links become classes by connected components.  Buckets of one class are finished, and members of one class are
 never paired, so a large group of copies is not expanded into its pairs and no link between classes is lost.
 
@@ -36,7 +36,7 @@ BANDS = PLACES // ROWS
 SIMILARITY = 0.8
 MOST = np.uint64(2**64 - 1)
 RUN_BYTES = 1_000_000
-BINS = 1024  # places of the sketch that the last pass goes by
+BINS = 1024  # places of the sketch that all but the first pass go by
 SURE = 4.5  # standard deviations that an estimate may lie under the similarity
 BLOCK = 2048  # bucket members that a task compares at once with as many others: 16 MB of answers, 4 MB of sketches
 
@@ -283,7 +283,8 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
     sets = stored(_elements(docs.withColumnRenamed("doc_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])), "elements")
 
     known = classes = None
-    for best in (True, True, False):
+    best = True
+    while True:
         if classes is None:
             # a few bands join most of what belongs together
             few = single.select("text_id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("b")).join(shared, "b")
@@ -292,8 +293,8 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
         else:
             of = single.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
             dealt = _blocks(of.select("text_id", F.coalesce("class_id", "text_id").alias("c"), F.explode("bands").alias("b")))
-        rated = marks if best else sets.select("text_id", F.col("sketch").alias("mark"), F.size("elements").cast("long").alias("n"))
-        found = _proposed(dealt.join(rated, "text_id"), best, _by_signature if best else _by_sketch, similarity)
+        rated = marks if classes is None else sets.select("text_id", F.col("sketch").alias("mark"), F.size("elements").cast("long").alias("n"))
+        found = _proposed(dealt.join(rated, "text_id"), best, _by_signature if classes is None else _by_sketch, similarity)
         if best:
             found = found.groupBy("x").agg(F.max_by("y", F.struct("share", F.xxhash64("y"))).alias("y"))
         pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -301,7 +302,14 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         measured = stored(_measured(stored(pairs, "pairs"), sets), "distances")
         known = measured if known is None else stored(known.unionByName(measured), "known")
-        classes = components(known.where(F.col("distance") <= far))
+        later = classes is not None
+        linked = not later or not measured.where(F.col("distance") <= far).isEmpty()
+        if linked:
+            classes = components(known.where(F.col("distance") <= far))
+        if not best:
+            break
+        # best partners go on while they join classes; then only pairs that are just too far apart are left
+        best = linked
     out = copies.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id")
 
