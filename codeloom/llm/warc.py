@@ -34,6 +34,7 @@ _BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset f
 _HIDDEN = frozenset("script style noscript template".split())
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)")
 _LINK = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "script": "src"}
+_ATTRIBUTE = {n: re.compile(rf"""\s{n}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I) for n in set(_LINK.values())}
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" *\n[ \n]*")
 
@@ -88,14 +89,14 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def _attribute(tag: str, name: str) -> str | None:
-    found = re.search(rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", tag, re.I)
+    found = _ATTRIBUTE[name].search(tag)
     return html.unescape(next(x for x in found.groups() if x is not None)) if found else None
 
 
 def text_and_links(source: str) -> tuple[str, str, list[str]]:
     """Title, plain text and links (in order) of a page; one walk from tag to tag."""
     out, links, title, at, n = [], [], None, 0, len(source)
-    lowered = re.sub("[A-Z]+", lambda m: m[0].lower(), source)
+    lowered = source.lower() if source.isascii() else source.encode().lower().decode()
     while at < n:
         begin = source.find("<", at)
         if begin < 0:
