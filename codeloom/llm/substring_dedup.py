@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from .shingles import mix
 
 SPAN, Q = 50, 24
 RUN_BYTES = 3_000_000
+PART_BYTES = 1_000_000  # undecided bytes whose suffixes are sorted together, but for one anchor with more
 SEGMENT = 250_000  # windows hashed at once
 
 
@@ -68,31 +70,47 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(part[: len(part) - rest], part[rest:]) if rest else part
 
 
-def stretches(text: bytes, span: int = SPAN, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, stretch hash, first window, windows) of each run of windows with one anchor."""
+def stretches(texts: list[bytes], span: int = SPAN, q: int = Q) -> tuple[np.ndarray, ...]:
+    """(text, anchor hash, stretch hash, first window, windows) of each run of a text's windows with one anchor."""
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner, begin = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
     parts = []
-    for a in range(0, max(0, len(text) - span + 1), SEGMENT):
-        data = np.frombuffer(text, np.uint8, min(len(text), a + SEGMENT + span - 1) - a, a)
+    for a in range(0, max(0, len(whole) - span + 1), SEGMENT):
+        data = whole[a : a + SEGMENT + span - 1]
         h = gram_hashes(data, q)
         place = np.arange(len(h), dtype=np.uint64) & np.uint64(63)
         least = sliding_min((h & ~np.uint64(63)) | place, span - q + 1)
         n = len(least)
-        s = np.arange(n)
-        anchor = s + (((least & np.uint64(63)).astype(np.int64) - s) & 63)
-        edges = blobs.groups(anchor)
-        first, stop = edges[:-1], edges[1:]
-        end = stop - 1 + span  # one behind the stretch's last byte
+        s = np.flatnonzero(owner[a : a + n] == owner[a + span - 1 : a + span - 1 + n])  # windows that stay in their text
+        if not len(s):
+            continue
+        anchor, text = s + (((least[s] & np.uint64(63)).astype(np.int64) - s) & 63), owner[a + s]
+        new = np.ones(len(s), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        at = np.flatnonzero(new)
+        first, count = s[at], np.diff(np.append(at, len(s)))
+        end = first + count - 1 + span  # one behind the stretch's last byte
         with np.errstate(over="ignore"):
             g = (end - first).astype(np.uint64)
             for k in range(0, 2 * span, q):  # q-grams that cover it, the last one at its end
-                at = np.minimum(first + k, end - q)
-                g = mix(g * np.uint64(0xD6E8FEB86659FD93) + h[at])
-        parts.append((mix(h[anchor[first]]), g >> np.uint64(16), first + a, stop - first))  # 112 bits tell stretches apart
+                g = mix(g * np.uint64(0xD6E8FEB86659FD93) + h[np.minimum(first + k, end - q)])
+        # 96 bits tell stretches apart
+        parts.append((text[at], mix(h[anchor[at]]) >> np.uint64(16), g >> np.uint64(16), first + a - begin[text[at]], count))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _by_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by h, and in it the places of values that occur more than once."""
+    order = np.argsort(h)
+    s = h[order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    return order, np.flatnonzero(same[1:] | same[:-1])
+
+
 def refined_classes(data: np.ndarray, starts: np.ndarray, span: int, q: int = 8) -> np.ndarray:
     """Equal numbers for those ``starts`` whose ``span`` bytes are equal: bucket-pointer refinement.
 
@@ -127,22 +145,34 @@ def refined_classes(data: np.ndarray, starts: np.ndarray, span: int, q: int = 8)
 
 
 def _shared_windows(messages: list[bytes], span: int):
-    """From undecided stretches (bucket, row, document, first, windows, bytes): windows that a smaller document has."""
+    """From undecided stretches (anchor, row, document, first, windows, bytes): windows that a smaller document has.
+
+    Anchors are dealt to parts of about PART_BYTES, each sorted on its own, because equal windows have equal anchors.
+    """
     parts = [blobs.unpack(m) for m in messages]
     sender = np.concatenate([np.full(len(p[0]), k) for k, p in enumerate(parts)])
-    anchor, rows, docs, first, count = (np.concatenate([p[j].astype(np.int64) if j else p[j] for p in parts]) for j in range(5))
-    lengths = count + span - 1
+    anchor = np.concatenate([p[0] for p in parts])
+    rows, docs, first, count = (np.concatenate([p[j].astype(np.int64) for p in parts]) for j in range(1, 5))
     data = np.concatenate([p[5] for p in parts])
+    lengths = count + span - 1
     begin = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(anchor)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    number = refined_classes(data, begin[owner] + offset, span)
-    order = np.lexsort((docs[owner], number))
-    edges = blobs.groups(number[order])
-    least = np.repeat(docs[owner][order][edges[:-1]], np.diff(edges))
-    gone = np.zeros(len(order), bool)
-    gone[order] = docs[owner][order] > least
-    return sender, rows, first, owner, offset, gone
+    part = (mix(anchor) % np.uint64(-(-len(data) // PART_BYTES) or 1)).astype(np.int64)
+    dealt = np.argsort(part, kind="stable")
+    edges = blobs.groups(part[dealt])
+    for a, b in zip(edges[:-1], edges[1:]):
+        i = dealt[a:b]
+        at = np.cumsum(lengths[i]) - lengths[i]
+        own = data[np.repeat(begin[i] - at, lengths[i]) + np.arange(lengths[i].sum())]
+        owner = np.repeat(np.arange(len(i)), count[i])
+        offset = np.arange(count[i].sum()) - np.repeat(np.cumsum(count[i]) - count[i], count[i])
+        number = refined_classes(own, at[owner] + offset, span)
+        who = docs[i][owner]
+        order = np.lexsort((who, number))
+        runs = blobs.groups(number[order])
+        least = np.repeat(who[order][runs[:-1]], np.diff(runs))
+        gone = order[who[order] > least]
+        k = i[owner[gone]]
+        yield sender[k], rows[k], first[k] + offset[gone]
 
 
 def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
@@ -157,27 +187,28 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     # partitions 0 .. shards-1 receive anchors, shards .. 2*shards-1 receive documents
     def send(batches):
+        part, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts, at, size = batch.column(0).to_numpy(), batch.column(1).to_pylist(), 0, 0
             for k, t in enumerate(texts):
                 size += len(t)
                 if size >= RUN_BYTES or k == len(texts) - 1:
-                    found = list(_run(ids[at : k + 1], texts[at : k + 1]))
+                    found = list(_run(ids[at : k + 1], texts[at : k + 1], f"{part} {turn}"))
+                    turn += 1
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["key", "blob"])
                     at, size = k + 1, 0
 
-    def _run(ids, texts):
+    def _run(ids, texts, which):
         home = (mix(ids.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        name = int.from_bytes(hashlib.sha256(ids.tobytes() + b"".join(texts)).digest()[:7], "little")  # a run's own number, the same if it is made again
+        name = int.from_bytes(hashlib.sha256(which.encode() + ids.tobytes() + b"".join(texts)).digest()[:7], "little")  # a run's own number, the same if it is made again
         place = np.zeros(len(ids), np.int64)  # row within the message to the document's home
         for b in np.unique(home):
             at = np.flatnonzero(home == b)
             place[at] = np.arange(len(at))
-        each = [stretches(t, span) for t in texts]
-        sizes = [len(x[0]) for x in each]
-        h, g, first, count = (np.concatenate([x[j] for x in each]) for j in range(4))
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        order = np.lexsort((ids[doc], g, h))
+        doc, h, g, first, count = stretches(texts, span)
+        order, several = _by_hash(h)
+        x = order[several]
+        order[several] = x[np.lexsort((ids[doc[x]], g[x], h[x]))]
         h, g, first, count, doc = h[order], g[order], first[order], count[order], doc[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
@@ -191,12 +222,16 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
             i = go[a:b]
             yield int(shard[i[0]]), blobs.pack(np.array([name]), np.diff(h[i], prepend=np.uint64(0)), g[i], ids, blobs.small(doc[i]), blobs.small(first[i]), blobs.small(count[i]))
         # stretches with equal hashes in one document and run follow the first of them
-        same = ~new & ~local
+        told = np.flatnonzero(~new)
+        lead_of = np.flatnonzero(new)[np.cumsum(new)[told] - 1]
+        by = np.argsort(home[doc[told]], kind="stable")
+        told, lead_of = told[by], lead_of[by]
+        home_of = home[doc[told]]
         for b in np.unique(home):
             at = np.flatnonzero(home == b)
-            mine = np.flatnonzero((local | same) & (home[doc] == b))
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1][mine] if len(mine) else mine
-            data = np.frombuffer(b"".join(texts[k] for k in at), np.uint8)
+            i, j = np.searchsorted(home_of, [b, b + 1])
+            mine, lead = told[i:j], lead_of[i:j]
+            data = np.frombuffer(b"".join(texts[k] for k in at), np.uint8)  # the texts, most of what is sent
             yield shards + int(b), blobs.pack(
                 np.array([name]), ids[at], np.array([len(texts[k]) for k in at]), data, blobs.small(place[doc[mine]]), blobs.small(first[mine]), blobs.small(count[mine]),
                 local[mine].astype(np.uint8), blobs.small(doc[lead]), blobs.small(first[lead]), blobs.small(place[doc[lead]]),
@@ -217,12 +252,16 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         row = np.concatenate([p[4].astype(np.int64) for p in parts])
         doc = np.concatenate([p[3][p[4]] for p in parts])
         first, count = (np.concatenate([p[j].astype(np.int64) for p in parts]) for j in (5, 6))
-        order = np.lexsort((doc, g, h))
+        order, several = _by_hash(h)
+        order = order[several]  # an anchor that occurs once takes no part
+        order = order[np.lexsort((doc[order], g[order], h[order]))]
         hs, gs = h[order], g[order]
         new_h = np.ones(len(hs), bool)
         new_h[1:] = hs[1:] != hs[:-1]
         new = new_h.copy()
         new[1:] |= gs[1:] != gs[:-1]
+        if not len(order):
+            return
         several = np.bincount(np.cumsum(new_h) - 1, weights=new)[np.cumsum(new_h) - 1] > 1
         least = doc[order][new][np.cumsum(new) - 1]
         whole = doc[order] > least
@@ -250,8 +289,11 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
                 (replies if len(p[0]) == 2 else self.docs).append(p)
             self.runs = {int(p[0][0]): k for k, p in enumerate(self.docs)}
             self.begin = [np.cumsum(p[2]) - p[2] for p in self.docs]
-            self.gone = [np.zeros(len(p[3]) + 1, np.int64) for p in self.docs]
             self.replies = replies
+
+        def local(self):
+            """Counts of removals that begin less those that end, at each byte; at first those of the run itself."""
+            self.gone = [np.zeros(len(p[3]) + 1, np.int32) for p in self.docs]
             for p, begin, gone in zip(self.docs, self.begin, self.gone):
                 local = p[7] > 0
                 self.mark(gone, begin[p[4][local]] + p[5][local].astype(np.int64), p[6][local].astype(np.int64))
@@ -297,14 +339,14 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         messages = [b for _, b in pairs]
         if not messages:
             return
-        sender, rows_, first, owner, offset, gone = _shared_windows(messages, span)
         heads = [blobs.unpack(m)[6] for m in messages]
-        hit = np.flatnonzero(gone)
-        of = sender[owner[hit]]
-        for k in np.unique(of):
-            i = hit[of == k]
-            name, home = (int(x) for x in heads[k])
-            yield home, blobs.pack(np.array([name, 2]), blobs.small(rows_[owner[i]]), blobs.small(first[owner[i]] + offset[i]), blobs.small(first[owner[i]]))
+        of, row, window = (np.concatenate(x) for x in zip(*_shared_windows(messages, span)))
+        order = np.lexsort((window, row, of))
+        of, row, window = of[order], row[order], window[order]
+        edges = blobs.groups(of)
+        for a, b in zip(edges[:-1], edges[1:]):
+            name, home = (int(x) for x in heads[of[a]])
+            yield home, blobs.pack(np.array([name, 2]), blobs.small(row[a:b]), blobs.small(window[a:b]))
 
     refined = blobs.resent(asked.mapPartitions(refine), 2 * shards)
 
@@ -313,6 +355,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         if index < shards:
             return
         home, answers = homes_of(pairs)
+        home.local()
         for k, p in answers:
             begin, gone = home.begin[k], home.gone[k]
             if p[0][1] == 1:
