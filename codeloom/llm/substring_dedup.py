@@ -111,37 +111,49 @@ def _by_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(same[1:] | same[:-1])
 
 
-def refined_classes(data: np.ndarray, starts: np.ndarray, span: int, q: int = 8) -> np.ndarray:
-    """Equal numbers for those ``starts`` whose ``span`` bytes are equal: bucket-pointer refinement.
-
-    ``data`` holds all suffixes; buckets begin as the ranks of q-grams.  A pass sorts by (own bucket, bucket of
-    the place as many bytes on as are sorted already), which doubles the sorted length; only buckets with several members
-    are sorted again, and the new numbers serve all later look-ups.
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its place in sorted order (equal keys: the first one's), and how many share it."""
+    order = np.argsort(key)
+    edges = blobs.groups(key[order])
+    size = np.diff(edges)
+    number, members = np.empty(len(key), np.uint64), np.empty(len(key), np.int64)
+    number[order], members[order] = np.repeat(edges[:-1], size), np.repeat(size, size)
+    return number, members
+
+
+def refined_classes(data: np.ndarray, starts: np.ndarray, span: int, q: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``starts``, class): those whose ``span`` bytes occur at another start too; equal bytes, equal class.
+
+    Bucket-pointer refinement: buckets begin as the ranks of q-grams.  A pass sorts by (own bucket, bucket of the place as
+    many bytes on as are sorted already), which doubles the sorted length, and the new numbers serve the next pass.
+    Suffixes are told apart by ``span`` bytes only; a start alone in its bucket is finished, and a pass renumbers just the
+    places that later passes look up for the starts that are left.
     """
-    n = len(data)
-    gram = np.zeros(n, np.uint64)
+    gram = np.zeros(len(data), np.uint64)
     padded = np.concatenate([data.astype(np.uint64), np.zeros(q, np.uint64)])
     for k in range(q):
-        gram = (gram << np.uint64(8)) | padded[k : k + n]
-    _, bucket = np.unique(gram, return_inverse=True)
-    bucket = bucket.astype(np.int64)
-    done = q
+        gram = (gram << np.uint64(8)) | padded[k : k + len(data)]
+    bucket, done, steps = _numbered(gram)[0], q, []
     while done < span:
-        step = min(done, span - done)
-        later = np.zeros(n, np.int64)
-        later[: n - step] = bucket[step:] + 1
-        size = np.bincount(bucket)
-        open_ = np.flatnonzero(size[bucket] > 1)
-        order = open_[np.lexsort((later[open_], bucket[open_]))]
-        own, nxt = bucket[order], later[order]
-        new = np.ones(len(order), np.int64)
-        new[1:] = (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])
-        # numbers stay in order: closed buckets and refined ones are renumbered together
-        label = np.zeros(n, np.int64)
-        label[order] = np.cumsum(new)
-        _, bucket = np.unique(bucket * (len(order) + 1) + label, return_inverse=True)
-        done += step
-    return bucket[starts]
+        steps.append(min(done, span - done))
+        done += steps[-1]
+    wanted = [np.zeros(1, np.int64)]  # offsets from a start at which each pass gives numbers, last pass first
+    for step in steps[:0:-1]:
+        wanted.append(np.unique(np.concatenate([wanted[-1], wanted[-1] + step])))
+    left = np.arange(len(starts))
+    for step, offsets in zip(steps, wanted[::-1]):
+        left = left[_numbered(bucket[starts[left]])[1] > 1]
+        if not len(left):
+            break
+        need = np.zeros(len(data), bool)
+        for k in offsets.tolist():
+            need[starts[left] + k] = True
+        need = np.flatnonzero(need)
+        new = np.zeros(len(data), np.uint64)
+        new[need] = _numbered((bucket[need] << np.uint64(32)) | bucket[need + step])[0]
+        bucket = new
+    left = left[_numbered(bucket[starts[left]])[1] > 1]
+    return left, bucket[starts[left]]
 
 
 def _shared_windows(messages: list[bytes], span: int):
@@ -165,12 +177,14 @@ def _shared_windows(messages: list[bytes], span: int):
         own = data[np.repeat(begin[i] - at, lengths[i]) + np.arange(lengths[i].sum())]
         owner = np.repeat(np.arange(len(i)), count[i])
         offset = np.arange(count[i].sum()) - np.repeat(np.cumsum(count[i]) - count[i], count[i])
-        number = refined_classes(own, at[owner] + offset, span)
-        who = docs[i][owner]
+        open_, number = refined_classes(own, at[owner] + offset, span)
+        if not len(open_):
+            continue
+        who = docs[i][owner[open_]]
         order = np.lexsort((who, number))
         runs = blobs.groups(number[order])
         least = np.repeat(who[order][runs[:-1]], np.diff(runs))
-        gone = order[who[order] > least]
+        gone = open_[order[who[order] > least]]
         k = i[owner[gone]]
         yield sender[k], rows[k], first[k] + offset[gone]
 
@@ -234,7 +248,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
             data = np.frombuffer(b"".join(texts[k] for k in at), np.uint8)  # the texts, most of what is sent
             yield shards + int(b), blobs.pack(
                 np.array([name]), ids[at], np.array([len(texts[k]) for k in at]), data, blobs.small(place[doc[mine]]), blobs.small(first[mine]), blobs.small(count[mine]),
-                local[mine].astype(np.uint8), blobs.small(doc[lead]), blobs.small(first[lead]), blobs.small(place[doc[lead]]),
+                local[mine].astype(np.uint8), blobs.small(at), blobs.small(first[lead]), blobs.small(place[doc[lead]]),
             )
 
     sent = blobs.sent(rows.mapInArrow(send, "key int, blob binary"), 2 * shards)
@@ -272,66 +286,51 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         home = (mix(doc[i].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
         by = np.lexsort((run[i], home))
         i, state, home = i[by], state[by], home[by]
-        edges = blobs.groups(home * len(parts) + run[i])
+        names = np.array([int(p[0][0]) for p in parts])
+        edges = blobs.groups(home)
         for a, b in zip(edges[:-1], edges[1:]):
             k = i[a:b]
-            yield shards + int(home[a]), blobs.pack(np.array([int(parts[run[k[0]]][0][0]), 1]), blobs.small(row[k]), doc[k], blobs.small(first[k]), blobs.small(count[k]), state[a:b].astype(np.uint8), np.array([index]), h[k])
+            yield shards + int(home[a]), blobs.pack(np.array([index, 1]), blobs.small(run[k]), blobs.small(row[k]), doc[k], blobs.small(first[k]), blobs.small(count[k]), state[a:b].astype(np.uint8), h[k], names)
 
     replied = blobs.resent(sent.mapPartitionsWithIndex(match), 2 * shards)
 
     class Home:
-        """Documents of one partition with what is known to go; replies name (run, document's row in its run)."""
+        """Documents of one partition, in the order of their runs' names, and what was replied about them."""
 
         def __init__(self, pairs):
-            self.docs, replies = [], []
-            for _, blob in pairs:
-                p = blobs.unpack(blob)
-                (replies if len(p[0]) == 2 else self.docs).append(p)
+            found = [blobs.unpack(blob) for _, blob in pairs]
+            self.replies = [p for p in found if len(p[0]) == 2]
+            self.docs = sorted((p for p in found if len(p[0]) == 1), key=lambda p: int(p[0][0]))
             self.runs = {int(p[0][0]): k for k, p in enumerate(self.docs)}
-            self.begin = [np.cumsum(p[2]) - p[2] for p in self.docs]
-            self.replies = replies
-
-        def local(self):
-            """Counts of removals that begin less those that end, at each byte; at first those of the run itself."""
-            self.gone = [np.zeros(len(p[3]) + 1, np.int32) for p in self.docs]
-            for p, begin, gone in zip(self.docs, self.begin, self.gone):
-                local = p[7] > 0
-                self.mark(gone, begin[p[4][local]] + p[5][local].astype(np.int64), p[6][local].astype(np.int64))
+            none = [np.zeros(0, np.int64)]
+            self.ids, self.sizes = (np.concatenate(none + [p[j] for p in self.docs]).astype(np.int64) for j in (1, 2))
+            self.data = np.concatenate([np.zeros(0, np.uint8)] + [p[3] for p in self.docs])
+            self.begin = np.cumsum(self.sizes) - self.sizes
+            self.base = np.cumsum([0] + [len(p[1]) for p in self.docs])
+            self.places = np.concatenate(none + [(k << 32) | p[8].astype(np.int64) for k, p in enumerate(self.docs)])
+
+        def rows(self, p, at):
+            """Rows of the documents that places ``at`` of a reply are about: by the run's name and the row in that run."""
+            run = np.array([self.runs.get(x, -1) for x in p[8].tolist()], np.int64)
+            return np.searchsorted(self.places, (run[p[1][at]] << 32) | p[2][at].astype(np.int64))
 
         def mark(self, gone, start, windows):
             np.add.at(gone, start, 1)
             np.add.at(gone, start + windows - 1 + span, -1)
 
-    def homes_of(pairs):
-        """The home's documents and replies, and (document message, place in it, reply's rows) for each reply."""
-        home = Home(pairs)
-        answers = []
-        for p in home.replies:
-            k = home.runs[int(p[0][0])]
-            ids = home.docs[k][1]
-            answers.append((k, p))
-        return home, answers
-
-    def rows_in(home, k, docs):
-        """Places in message k of documents by id (ids that repeat in a run share their first place)."""
-        ids = home.docs[k][1]
-        order = np.argsort(ids, kind="stable")
-        return order[np.searchsorted(ids, docs, sorter=order)]
-
     def undecided(index, pairs):
         """Step 3: undecided stretches with their bytes, to the anchors' shards."""
         if index < shards:
             return
-        home, answers = homes_of(pairs)
-        for k, p in answers:
-            at = np.flatnonzero(p[5] == 2)
+        home = Home(pairs)
+        for p in home.replies:
+            at = np.flatnonzero(p[6] == 2)
             if not len(at):
                 continue
-            where = rows_in(home, k, p[2][at])
-            first, count = p[3][at].astype(np.int64), p[4][at].astype(np.int64)
-            start, length = home.begin[k][where] + first, count + span - 1
+            where, first, count = home.rows(p, at), p[4][at].astype(np.int64), p[5][at].astype(np.int64)
+            start, length = home.begin[where] + first, count + span - 1
             take = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            yield int(p[6][0]), blobs.pack(p[7][at], where, p[2][at], first, count, home.docs[k][3][take], np.array([int(p[0][0]), index]))
+            yield int(p[0][0]), blobs.pack(p[7][at], blobs.small(where), p[3][at], blobs.small(first), blobs.small(count), home.data[take], np.array([index]))
 
     asked = blobs.resent(blobs.together(replied, sent).mapPartitionsWithIndex(undecided), 2 * shards)
 
@@ -339,14 +338,16 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         messages = [b for _, b in pairs]
         if not messages:
             return
-        heads = [blobs.unpack(m)[6] for m in messages]
-        of, row, window = (np.concatenate(x) for x in zip(*_shared_windows(messages, span)))
+        heads = [int(blobs.unpack(m)[6][0]) for m in messages]
+        found = list(_shared_windows(messages, span))
+        if not found:
+            return
+        of, row, window = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((window, row, of))
         of, row, window = of[order], row[order], window[order]
         edges = blobs.groups(of)
         for a, b in zip(edges[:-1], edges[1:]):
-            name, home = (int(x) for x in heads[of[a]])
-            yield home, blobs.pack(np.array([name, 2]), blobs.small(row[a:b]), blobs.small(window[a:b]))
+            yield heads[of[a]], blobs.pack(np.array([0, 2]), blobs.small(row[a:b]), blobs.small(window[a:b]))
 
     refined = blobs.resent(asked.mapPartitions(refine), 2 * shards)
 
@@ -354,36 +355,36 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         """Step 4."""
         if index < shards:
             return
-        home, answers = homes_of(pairs)
-        home.local()
-        for k, p in answers:
-            begin, gone = home.begin[k], home.gone[k]
+        home = Home(pairs)
+        gone = np.zeros(len(home.data) + 1, np.int32)  # removals that begin less those that end, at each byte
+        for k, p in enumerate(home.docs):
+            local = p[7] > 0
+            home.mark(gone, home.begin[home.base[k] + p[4][local]] + p[5][local].astype(np.int64), p[6][local].astype(np.int64))
+        for p in home.replies:
             if p[0][1] == 1:
-                at = np.flatnonzero(p[5] == 1)
-                home.mark(gone, begin[rows_in(home, k, p[2][at])] + p[3][at].astype(np.int64), p[4][at].astype(np.int64))
+                at = np.flatnonzero(p[6] == 1)
+                home.mark(gone, home.begin[home.rows(p, at)] + p[4][at].astype(np.int64), p[5][at].astype(np.int64))
             else:
-                home.mark(gone, begin[p[1]] + p[2].astype(np.int64), np.ones(len(p[1]), np.int64))
+                home.mark(gone, home.begin[p[1]] + p[2].astype(np.int64), np.ones(len(p[1]), np.int64))
         # repeats within one document and run: what went from the first went because a smaller document has it
-        for p, begin, gone in zip(home.docs, home.begin, home.gone):
+        covered = np.cumsum(gone, dtype=np.int32) > 0
+        for k, p in enumerate(home.docs):
             follow = np.flatnonzero(p[7] == 0)
-            if len(follow):
-                covered = np.cumsum(gone) > 0
-                own, lead = begin[p[4][follow]] + p[5][follow].astype(np.int64), begin[p[10][follow]] + p[9][follow].astype(np.int64)
-                for a, b, n in zip(own.tolist(), lead.tolist(), p[6][follow].tolist()):
-                    self_gone = covered[b : b + n - 1 + span]
-                    if self_gone.any():
-                        change = np.flatnonzero(np.diff(np.concatenate([[0], self_gone.view(np.int8), [0]])))
-                        np.add.at(gone, a + change[::2], 1)
-                        np.add.at(gone, a + change[1::2], -1)
-            covered = np.cumsum(gone)[:-1] > 0
-            text_ = p[3]
-            for d, a, n in zip(p[1].tolist(), begin.tolist(), p[2].tolist()):
-                c = covered[a : a + n]
-                kept = text_[a : a + n][~c].tobytes()
-                removed = n - len(kept)
-                spans = int(np.count_nonzero(c[1:] & ~c[:-1]) + (n > 0 and bool(c[0]))) if removed else 0
-                row = (d, n, removed, spans, hashlib.sha256(kept).hexdigest())
-                yield (*row, kept) if with_text else row
+            own, lead = home.begin[home.base[k] + p[4][follow]] + p[5][follow].astype(np.int64), home.begin[home.base[k] + p[10][follow]] + p[9][follow].astype(np.int64)
+            for a, b, n in zip(own.tolist(), lead.tolist(), p[6][follow].tolist()):
+                self_gone = covered[b : b + n - 1 + span]
+                if self_gone.any():
+                    change = np.flatnonzero(np.diff(np.concatenate([[0], self_gone.view(np.int8), [0]])))
+                    np.add.at(gone, a + change[::2], 1)
+                    np.add.at(gone, a + change[1::2], -1)
+        covered = np.cumsum(gone, dtype=np.int32)[:-1] > 0
+        for d, a, n in zip(home.ids.tolist(), home.begin.tolist(), home.sizes.tolist()):
+            c = covered[a : a + n]
+            kept = home.data[a : a + n][~c].tobytes()
+            removed = n - len(kept)
+            spans = int(np.count_nonzero(c[1:] & ~c[:-1]) + (n > 0 and bool(c[0]))) if removed else 0
+            row = (d, n, removed, spans, hashlib.sha256(kept).hexdigest())
+            yield (*row, kept) if with_text else row
 
     return spark.createDataFrame(blobs.together(replied, refined, sent).mapPartitionsWithIndex(finish), schema, verifySchema=False)
 
