@@ -316,7 +316,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
         def mark(self, gone, start, windows):
             np.add.at(gone, start, 1)
-            np.add.at(gone, start + windows - 1 + span, -1)
+            np.add.at(gone, start + windows, -1)
 
     def undecided(index, pairs):
         """Step 3: undecided stretches with their bytes, to the anchors' shards."""
@@ -356,7 +356,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         if index < shards:
             return
         home = Home(pairs)
-        gone = np.zeros(len(home.data) + 1, np.int32)  # removals that begin less those that end, at each byte
+        gone = np.zeros(len(home.data) + 1, np.int32)  # runs of removed windows that begin less those that end, at each window's first byte
         for k, p in enumerate(home.docs):
             local = p[7] > 0
             home.mark(gone, home.begin[home.base[k] + p[4][local]] + p[5][local].astype(np.int64), p[6][local].astype(np.int64))
@@ -366,17 +366,19 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
                 home.mark(gone, home.begin[home.rows(p, at)] + p[4][at].astype(np.int64), p[5][at].astype(np.int64))
             else:
                 home.mark(gone, home.begin[p[1]] + p[2].astype(np.int64), np.ones(len(p[1]), np.int64))
-        # repeats within one document and run: what went from the first went because a smaller document has it
-        covered = np.cumsum(gone, dtype=np.int32) > 0
+        # repeats within one document and run: the windows that went from the first went because a smaller document has them
+        # (windows, not bytes: windows outside the stretch may cover bytes of the first that the others keep)
+        went = np.cumsum(gone, dtype=np.int32) > 0
         for k, p in enumerate(home.docs):
             follow = np.flatnonzero(p[7] == 0)
             own, lead = home.begin[home.base[k] + p[4][follow]] + p[5][follow].astype(np.int64), home.begin[home.base[k] + p[10][follow]] + p[9][follow].astype(np.int64)
             for a, b, n in zip(own.tolist(), lead.tolist(), p[6][follow].tolist()):
-                self_gone = covered[b : b + n - 1 + span]
-                if self_gone.any():
-                    change = np.flatnonzero(np.diff(np.concatenate([[0], self_gone.view(np.int8), [0]])))
-                    np.add.at(gone, a + change[::2], 1)
-                    np.add.at(gone, a + change[1::2], -1)
+                went[a : a + n] |= went[b : b + n]
+        change = np.diff(went.view(np.int8), prepend=np.int8(0))
+        begins, ends = np.flatnonzero(change > 0), np.flatnonzero(change < 0)
+        gone[:] = 0
+        gone[begins] += 1
+        gone[ends + span - 1] -= 1
         covered = np.cumsum(gone, dtype=np.int32)[:-1] > 0
         for d, a, n in zip(home.ids.tolist(), home.begin.tolist(), home.sizes.tolist()):
             c = covered[a : a + n]

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import pytest
@@ -96,6 +98,30 @@ def test_substrings(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substrings_repeated_in_a_document(spark):
+    """What goes next to a document's first copy of a passage stays next to its second one."""
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choices(string.ascii_lowercase, k=n))
+    texts = []
+    for _ in range(10):
+        line, p, r = some(200), some(60), some(60)
+        texts += [some(80) + line[-40:] + p, some(80) + line + p + some(80) + line + r]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(len(texts), texts[1]), (len(texts), texts[3][:300])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    seen, want = {}, []
+    for i, t in rows:
+        for j in range(len(t) - 49):
+            seen[t[j : j + 50]] = min(seen.get(t[j : j + 50], i), i)
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for j in range(len(t) - 49):
+            if seen[t[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        kept = "".join(x for x, g in zip(t, gone) if not g)
+        want.append((i, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_language_model(docs, none):
     got = by_id(language_model.score(docs))
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "")) for i, t in enumerate(TEXTS)}
