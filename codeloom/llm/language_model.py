@@ -8,7 +8,7 @@ task; the model itself never has to be in one place.  In five steps over packed
 2. each shard counts its training bigrams and asks for the continuation counts of its words;
 3. word buckets add the continuation counts up and answer every asking shard;
 4. the driver gets a few numbers from each shard (counts of counts, totals, statistics of the
-   spread contexts, of which there are at most 4 for each shard) and derives the discounts;
+   spread contexts, of which there are at most 8 for each shard) and derives the discounts;
 5. each shard stores its words as sorted hash arrays in a temporary file, maps them into
    memory, scores its events and sends sums by document; these are added up.
 
@@ -33,10 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs, shingles
-from .common import shards_for, table
+from .common import shards_for, stored, table
 
 RUN_BYTES = 8_000_000
-SAMPLE_ROWS = 2_000  # rows that decide which contexts are spread over shards: balance only, never results
 START, END = np.uint64(1), np.uint64(2)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -136,18 +135,44 @@ def _of_counts(counts: np.ndarray) -> np.ndarray:
     return np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64)
 
 
+def _frequent(rows: DataFrame, shards: int) -> np.ndarray:
+    """Sorted hashes of the contexts to spread: the start, and every word with 1/(4*shards) of all tokens.
+
+    A run of documents reports the words that have half that share of its own tokens.  What runs leave out of a word
+    is then less than half the share, so the words sought are all among those reported that often, 8 for each shard at most.
+    """
+
+    def count(batches):
+        seen, size = Counter(), 0
+        for batch in batches:
+            for t in batch.column(1).to_pylist():
+                seen.update(t.translate(_LOWER).split())
+                size += len(t)
+                if size >= RUN_BYTES:
+                    yield report(seen)
+                    seen, size = Counter(), 0
+        if seen:
+            yield report(seen)
+
+    def report(seen):
+        total = sum(seen.values())
+        found = [(x, n) for x, n in seen.items() if n >= total / (8 * shards)]
+        hashes = np.append(_hashes([x for x, _ in found]), np.uint64(0)).view(np.int64)  # 0: all tokens of the run
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([*(n for _, n in found), total], pa.int64())], ["word", "n"])
+
+    reported = stored(rows.mapInArrow(count, "word long, n long"), "frequent-words")
+    total = reported.where("word = 0").agg(F.sum("n")).first()[0] or 0
+    found = reported.where("word <> 0").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total / (8 * shards))).collect()
+    return np.sort(np.concatenate([np.array([START]), np.array([r.word for r in found], np.int64).view(np.uint64)]))
+
+
 def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     spark = documents.sparkSession
     shards = shards_for(spark)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
-    sample = Counter()
-    for r in rows.limit(SAMPLE_ROWS).toLocalIterator():
-        sample.update(bytes(r[1]).translate(_LOWER).split())
-    floor = max(2, sum(sample.values()) / (4 * shards))
-    frequent = [x for x, n in sample.items() if n >= floor]
-    hot = np.sort(np.concatenate([np.array([START]), _hashes(frequent)]))
+    hot = _frequent(rows, shards)
 
     def send(batches):
         for batch in batches:
