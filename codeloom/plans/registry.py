@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators import vectors as V
 from .views import register, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +174,11 @@ def vector_search(spark):
     return S.nearest_vectors(spark.table("embeddings"), 1, limit=20)
 
 
+@query("vector_search_all", "SELECT query_id, vec_id, round(score, 4) AS score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q) s WHERE isfinite(score)) t WHERE r <= 20")
+def vector_search_all(spark):
+    return V.nearest_of_each(spark.table("embeddings"), spark.table("embeddings").where("vec_id % 50 = 0"), limit=20)
+
+
 @query("hash_tokens", "SELECT DISTINCT name, lower(regexp_extract(name, '^[A-Za-z]+', 0)) AS head FROM symbols")
 def hash_tokens(spark):
     return spark.table("symbols").select("name", T.head_word(F.col("name")).alias("head")).distinct()
