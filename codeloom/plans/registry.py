@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators import secrets as X
 from ..operators import vectors as V
 from .views import register, with_views
 
@@ -17,15 +18,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str):
-    """Register ``f(spark)``, which finds the tables and graph as views, under ``name`` with its SQL."""
+def query(name: str, sql: str | None):
+    """Register ``f(spark)``, which finds the tables and graph as views, under ``name`` with its SQL, if it has any."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             register(spark, sf_dir)
             return f(spark)
 
-        QUERIES[name], ORACLE_SQL[name] = run, with_views(sql)
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = with_views(sql)
         return f
 
     return add
@@ -157,6 +160,11 @@ def secret_assignments(spark):
     return S.secret_lines(S.code_lines(spark.table("files"))).select("path", "line", F.md5("text").alias("line_md5"))
 
 
+@query("secret_scan", None)
+def secret_scan(spark):
+    return X.scan(S.code_lines(spark.table("files")))
+
+
 @query("language_files", "SELECT language, count(*) AS files, sum(chars) AS chars, count(DISTINCT project) AS projects FROM files GROUP BY language")
 def language_files(spark):
     return spark.table("files").groupBy("language").agg(F.count("*").alias("files"), F.sum("chars").alias("chars"), F.countDistinct("project").alias("projects"))
