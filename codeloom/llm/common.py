@@ -32,6 +32,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more; other frames are left alone."""
+    for df in frames:
+        spark = df.sparkSession
+        home = shared_dir(spark)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.split(":", 1)[-1].lstrip("/").startswith(home.split(":", 1)[-1].lstrip("/") + "/"):
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def parts_for(rows: int, each: int = 50_000) -> int:
+    """Partitions for a small table of ``rows`` rows, so that its rounds don't pay for the session's partitions."""
+    return max(1, -(-rows // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,16 +7,20 @@ up to w count.  Each point falls on one of the signature's places; a place keeps
 Two texts agree at a place with probability equal to their weighted Jaccard similarity.  Processes are
 followed only until every place has an earlier point, so a text costs about as many steps as it has shingles.
 
-Signatures are banded; buckets with the same members count once.  A task holds at most two blocks of
-BLOCK bucket members and compares them in passes: each text with its best partner in its block, by signatures;
-each text with its best partner of another class, over all pairs of blocks that hold different classes, as often as
-that joins classes; at last every such pair that is left.  The later passes go by a finer sketch (the least hash of
-each of BINS bins, which is nearly the whole multiset for a short text).  What a pass proposes (estimates less than SURE standard deviations
-under the similarity) is measured exactly, by multiset overlap, and links become classes by connected components.  Buckets of one class are finished, and members of one class are
-never paired, so a large group of copies is not expanded into its pairs and no link between classes is lost.
+Signatures are banded; buckets with the same members count once.  A task holds whole buckets, or two blocks of
+a larger one, together with the members' shingle multisets, and finds every link that joins its classes: pairs whose
+signatures and bin sketches (estimates less than SURE standard deviations under the similarity) allow a link are
+measured by exact multiset overlap, likeliest first, until their ends are in one class or have no pair left.  Two passes:
+
+1. Buckets of the first bands, in blocks, join most of what belongs together; classes are connected components.
+2. Buckets (of all bands) that still hold different classes.  A class of more than BLOCK texts meets
+   its neighbours once, and not once for each bucket they share; all pairs of other classes meet, in blocks.
+
+A large group of copies is never expanded into its pairs, and no link between classes is lost.
 
 Edge cases: equal texts are one class whatever their length (null counts as empty); a text of fewer than five words is
-one shingle; texts without words are near nothing but their equals; repeated rows repeat;
+one shingle; texts without words are near nothing but their equals; repeated rows and repeated ids (whatever their
+texts) are rows of their own; a class is named by its least id that is not null, by null where it has none;
 empty tables give no rows; other columns play no part.
 """
 
@@ -28,17 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import stored, table
+from .common import dropped, parts_for, stored, table
 
 PLACES, ROWS = 128, 4
-FIRST_BANDS = 4  # bands of the first pass; the others take all
-BANDS = PLACES // ROWS
+FIRST_BANDS = 6  # bands of the first pass; the second takes all
 SIMILARITY = 0.8
 MOST = np.uint64(2**64 - 1)
 RUN_BYTES = 1_000_000
-BINS = 1024  # places of the sketch that all but the first pass go by
+BINS = 1024  # places of the sketch that pairs are judged by before they are measured
 SURE = 4.5  # standard deviations that an estimate may lie under the similarity
-BLOCK = 2048  # bucket members that a task compares at once with as many others: 16 MB of answers, 4 MB of sketches
+BLOCK = 2048  # texts of a bucket that a task holds at once
+BLOCK_ELEMENTS = 4_000_000  # and their elements
 
 
 def signatures(doc: np.ndarray, key: np.ndarray, times: np.ndarray, n_docs: int, places: int = PLACES) -> np.ndarray:
@@ -100,222 +104,320 @@ def _runs(texts: list[bytes]):
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """``text_id, digest, bands, mark`` from ``text_id, text`` (binary); mark has a byte of each place of the signature."""
+    """``doc_id, digest, n, bands, mark, elements`` from ``doc_id, text`` (binary).
+
+    ``mark`` has a byte of each place of the signature, ``elements`` the n hashes of the shingle multiset in order.
+    """
     import hashlib
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
         for batch in batches:
-            rows, digests, marks = [], [], []
+            at = 0
             for texts in _runs(batch.column(1).to_pylist()):
                 doc, key, times = shingles.shingle_counts(texts)
                 places = signatures(doc, key, times, len(texts))
                 has = np.bincount(doc, minlength=len(texts)) > 0
-                rows += [k.tolist() if yes else [] for k, yes in zip(band_keys(places), has)]
-                marks += [m.tobytes() for m in places.astype(np.uint8)]
-                digests += [hashlib.sha256(t).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["text_id", "digest", "bands", "mark"])
+                owner, element = shingles.elements(doc, key, times)
+                order = np.lexsort((element, owner))
+                sizes = np.bincount(owner, minlength=len(texts))
+                edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                bands = band_keys(places)[has].reshape(-1)
+                band_edges = np.concatenate([[0], np.cumsum(np.where(has, PLACES // ROWS, 0))]).astype(np.int32)
+                columns = [
+                    batch.column(0).slice(at, len(texts)), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(sizes.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(band_edges), pa.array(bands)), pa.array([m.tobytes() for m in places.astype(np.uint8)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(element[order].view(np.int64))),
+                ]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "bands", "mark", "elements"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n long, bands array<long>, mark binary, elements array<long>")
+
 
-    return docs.mapInArrow(run, "text_id long, digest binary, bands array<long>, mark binary")
+def sketches(doc: np.ndarray, element: np.ndarray, n_docs: int) -> np.ndarray:
+    """A byte (1 to 255) of the least hash of each bin of each text, 0 for empty bins."""
+    hashed = shingles.mix(element ^ np.uint64(0x9FB21C651E98DF25))
+    slot = doc * BINS + (hashed % np.uint64(BINS)).astype(np.int64)
+    least = np.full(n_docs * BINS, MOST, np.uint64)
+    np.minimum.at(least, slot, hashed >> np.uint64(10))
+    byte = (shingles.mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return np.where(least == MOST, 0, byte).astype(np.uint8).reshape(n_docs, BINS)
 
 
-def _elements(docs: DataFrame) -> DataFrame:
-    """``text_id, elements, sketch``: the shingle multiset as a set of hashes."""
+class Held:
+    """Texts that a task holds: rows sorted by task, with class, side, signature bytes and elements."""
+
+    def __init__(self, task, side, c, n, mark, elements, offsets, similarity: float):
+        self.side, self.c, self.n, self.mark, self.elements, self.offsets, self.similarity = side, c, n, mark, elements, offsets, similarity
+        new = np.ones(len(task), bool)
+        new[1:] = task[1:] != task[:-1]
+        self.group = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        self.end = np.append(self.first[1:], len(task))
+        _, self.node = np.unique(np.stack([self.group, np.unique(c, return_inverse=True)[1]]), axis=1, return_inverse=True)
+        self.node = self.node.reshape(-1)
+
+    def allowed(self, i, j, equal) -> np.ndarray:
+        """Pairs that the rules of the task and the signatures leave."""
+        least = self.similarity - SURE * (self.similarity * (1 - self.similarity) / self.mark.shape[1]) ** 0.5
+        ok = (self.node[i] != self.node[j]) & ((self.side[i] != self.side[j]) | (self.side[i] == 0)) & (equal >= least * self.mark.shape[1])
+        return ok & (np.minimum(self.n[i], self.n[j]) >= (self.similarity - 1e-9) * np.maximum(self.n[i], self.n[j]))
+
+    def pairs(self):
+        """(i, j) of all pairs that may be links by their signatures."""
+        found = []
+        size = self.end - self.first
+        few = (size <= 64)[self.group]
+        rest = np.where(few, self.end[self.group] - np.arange(len(self.group)) - 1, 0)
+        for a in range(0, len(rest), 4096):  # small tasks together
+            count = rest[a : a + 4096]
+            i = np.repeat(np.arange(a, a + len(count)), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            ok = self.node[i] != self.node[j]
+            i, j = i[ok], j[ok]
+            ok = self.allowed(i, j, np.count_nonzero(self.mark[i] == self.mark[j], axis=1))
+            found.append((i[ok], j[ok]))
+        for g in np.flatnonzero(size > 64):
+            lo, hi = int(self.first[g]), int(self.end[g])
+            for a in range(lo, hi, 64):
+                rows = np.arange(a, min(a + 64, hi))
+                right = self.mark[a:hi]
+                equal = np.count_nonzero(self.mark[rows][:, None] == right[None], axis=2)
+                i, j = np.nonzero(equal > 0.5 * self.mark.shape[1])
+                i, j, equal = i + a, j + a, equal[i, j]
+                ok = (i < j) & self.allowed(i, j, equal)
+                found.append((i[ok], j[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+    def sketched(self, i, j):
+        """Pairs that the sketches leave, and their estimates; bins are drawn without replacement, so small unions are nearly exact."""
+        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        marks = np.empty((len(used), BINS), np.uint8)
+        for a in range(0, len(used), 512):
+            rows = used[a : a + 512]
+            parts = [self.elements[self.offsets[r] : self.offsets[r + 1]] for r in rows.tolist()]
+            marks[a : a + 512] = sketches(np.repeat(np.arange(len(rows)), [len(p) for p in parts]), np.concatenate(parts), len(rows))
+        x, y, s = place[: len(i)], place[len(i) :], self.similarity
+        estimate, keep = np.empty(len(i)), np.empty(len(i), bool)
+        for a in range(0, len(i), 20_000):
+            u, v = marks[x[a : a + 20_000]], marks[y[a : a + 20_000]]
+            empty = np.count_nonzero((u | v) == 0, axis=1)
+            filled = np.maximum(1, BINS - empty)
+            union = (self.n[i[a : a + 20_000]] + self.n[j[a : a + 20_000]]) / (1 + s)  # if the pair has just that similarity
+            spread = np.sqrt(s * (1 - s) / filled * np.clip(1 - filled / union, 0, 1))
+            share = (np.count_nonzero(u == v, axis=1) - empty) / filled
+            estimate[a : a + 20_000], keep[a : a + 20_000] = share, share >= s - 0.01 - SURE * spread
+        return i[keep], j[keep], estimate[keep]
+
+    def linked(self, i: int, j: int) -> bool:
+        """Whether two texts are near by exact multiset overlap."""
+        x, y = self.elements[self.offsets[i] : self.offsets[i + 1]], self.elements[self.offsets[j] : self.offsets[j + 1]]
+        at = np.minimum(y.searchsorted(x), len(y) - 1)
+        shared = int(np.count_nonzero(y[at] == x))
+        return 1 - shared / (len(x) + len(y) - shared) <= 1 - self.similarity + 1e-9
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that join all classes of a task which any link of the task joins."""
+        i, j = self.pairs()
+        if not len(i):
+            return []
+        i, j, estimate = self.sketched(i, j)
+        order = np.argsort(-estimate, kind="stable")
+        i, j = i[order], j[order]
+        root = np.arange(int(self.node.max()) + 1)
+        out, tries = [], 1
+        while len(i):
+            a, b = root[self.node[i]], root[self.node[j]]
+            left = a != b
+            i, j, a, b = i[left], j[left], a[left], b[left]
+            if not len(i):
+                break
+            key = np.minimum(a, b) * len(root) + np.maximum(a, b)
+            by = np.argsort(key, kind="stable")
+            new = np.ones(len(by), bool)
+            new[1:] = key[by][1:] != key[by][:-1]
+            rank = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+            test = np.zeros(len(i), bool)
+            test[by[rank < tries]] = True  # the likeliest of each two classes
+            parent = root.tolist()
+
+            def find(k):
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            for p, q, x, y in zip(i[test].tolist(), j[test].tolist(), a[test].tolist(), b[test].tolist()):
+                x, y = find(x), find(y)
+                if x != y and self.linked(p, q):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((p, q))
+            root = np.array([find(k) for k in range(len(parent))])
+            i, j, tries = i[~test], j[~test], tries * 2
+        return out
+
+
+def _links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: joined classes, from ``task, side, c, n, mark, elements``."""
+
+    def held(t: pa.Table):
+        column = lambda name: t.column(name).to_numpy()
+        elements = t.column("elements").combine_chunks()
+        offsets = elements.offsets.to_numpy().astype(np.int64)
+        mark = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return Held(column("task"), column("side"), column("c"), column("n"), mark, elements.values.to_numpy().view(np.uint64), offsets, similarity)
+
+    def over(t: pa.Table):
+        rows = held(t)
+        found = rows.links()
+        if found:
+            i, j = (np.array(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(rows.c[i]), pa.array(rows.c[j])], ["a", "b"])
 
     def run(batches):
+        carry = None
         for batch in batches:
-            rows, short = [], []
-            for texts in _runs(batch.column(1).to_pylist()):
-                doc, element = shingles.elements(*shingles.shingle_counts(texts))
-                short += [x.tobytes() for x in sketches(doc, element, len(texts))]
-                order = np.argsort(doc, kind="stable")
-                rows += [x for x in np.split(element[order].view(np.int64), np.searchsorted(doc[order], np.arange(1, len(texts))))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["text_id", "elements", "sketch"])
+            new = pa.Table.from_batches([batch])
+            new = new if carry is None else pa.concat_tables([carry, new])
+            task = new.column("task").to_numpy()
+            edges = np.flatnonzero(task[1:] != task[:-1]) + 1
+            last = int(edges[-1]) if len(edges) else 0
+            if last:
+                yield from over(new.slice(0, last).combine_chunks())
+            carry = new.slice(last)
+        if carry is not None and carry.num_rows:
+            yield from over(carry.combine_chunks())
+
+    ordered = dealt.select("task", "side", "c", "n", "mark", "elements").repartition("task").sortWithinPartitions("task")
+    return ordered.mapInArrow(run, "a long, b long")
 
-    return docs.mapInArrow(run, "text_id long, elements array<long>, sketch binary")
 
+def _contracted(links: DataFrame, parts: int) -> DataFrame:
+    """The same classes by fewer and shorter links: each partition joins its own."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(k):
+            while parent.setdefault(k, k) != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+        ends = [(k, find(k)) for k in list(parent)]
+        ends = [(k, r) for k, r in ends if k != r]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], ["a", "b"])
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, distance`` of distinct pairs, by exact overlap; distance in ten-thousandths is never rounded before it is compared."""
-    left, right = sets.select(F.col("text_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("text_id").alias("b"), F.col("elements").alias("y"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (1 - shared / (F.size("x") + F.size("y") - shared)).alias("distance"))
+    return links.select("a", "b").repartition(parts, "a").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, *, each: int = 50_000) -> DataFrame:
     """``id, class_id`` of all ends of ``links`` (a, b): the least id reachable over them.
 
-    Each round takes the least class around and then the class's own class, so long chains halve.
+    Partitions join their own links first; then each round takes the least class around and the class's own class, so long chains halve.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("class_id")), "labels")
+    parts = parts_for(links.count(), each)
+    short = stored(_contracted(links, parts), "links")
+    deal = lambda df, *by: df.repartition(parts, *by)
+    both = stored(deal(short.select("a", "b").union(short.select(F.col("b").alias("a"), F.col("a").alias("b"))), "b").dropDuplicates(["b", "a"]), "links")
+    label = stored(deal(both, "a").groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("class_id")), "labels")
+    dropped(short)
     while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
-        lower = stored(label.join(near, "id").select("id", F.least("class_id", "near").alias("new"), F.col("class_id").alias("old")), "lower")
+        near = deal(deal(both, "b").join(deal(label, "id").withColumnRenamed("id", "b"), "b"), "a").groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
+        lower = stored(deal(label, "id").join(near, "id").select("id", F.least("class_id", "near").alias("new"), F.col("class_id").alias("old")), "lower")
+        dropped(label)
         if lower.where("new <> old").isEmpty():
-            return label
+            dropped(both)
+            return lower.select("id", F.col("new").alias("class_id"))
         jump = lower.select(F.col("id").alias("new"), F.col("new").alias("above"))
-        label = stored(lower.join(jump, "new").select("id", F.least("new", "above").alias("class_id")), "labels")
+        label = stored(deal(lower, "new").join(deal(jump, "new"), "new").select("id", F.least("new", "above").alias("class_id")), "labels")
+        dropped(lower)
 
 
-def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Number of places at which each row of x equals each row of y."""
-    out, step = np.zeros((len(x), len(y)), np.float32), max(1, 8_000_000 // max(1, y.size))
-    for i in range(0, len(x), step):
-        out[i : i + step] = np.count_nonzero(x[i : i + step, None] == y[None], axis=2)
-    return out
-
-
-def _by_signature(x, y, n, m, similarity: float) -> np.ndarray:
-    """How far the share of equal places lies over the least one that a pair of ``similarity`` can have; under 0: no link."""
-    return _equal(x, y) / x.shape[1] - (similarity - SURE * (similarity * (1 - similarity) / x.shape[1]) ** 0.5)
+def _parts(count: str, elements: str):
+    """Blocks that so many texts with so many elements need."""
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(elements) / BLOCK_ELEMENTS), F.lit(1)).cast("long")
 
 
-def _by_sketch(x, y, n, m, similarity: float) -> np.ndarray:
-    """The same for sketches of multisets of n and m elements; bins are drawn without replacement, so small unions are nearly exact."""
-    empty = (x == 0).astype(np.float32) @ (y == 0).astype(np.float32).T
-    filled = np.maximum(1, x.shape[1] - empty)
-    union = (n[:, None] + m[None]) / (1 + similarity)  # if the pair has just that similarity
-    spread = np.sqrt(similarity * (1 - similarity) / filled * np.clip(1 - filled / union, 0, 1))
-    score = (_equal(x, y) - empty) / filled - (similarity - 0.01 - SURE * spread)
-    small, large = np.minimum(n[:, None], m[None]), np.maximum(n[:, None], m[None])
-    return np.where(small < (similarity - 1e-9) * large, -1, score)
+def _same(column: str) -> list:
+    """Aggregates that are equal for groups with the same members."""
+    return [F.count("*").alias("k"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64(column)).alias("h1"), F.bit_xor(F.xxhash64(column, F.lit(1))).alias("h2")]
 
 
-def sketches(doc: np.ndarray, element: np.ndarray, n_docs: int) -> np.ndarray:
-    """A byte (1 to 255) of the least hash of each bin of each text, 0 for empty bins."""
-    hashed = shingles.mix(element ^ np.uint64(0x9FB21C651E98DF25))
-    slot = doc * BINS + (hashed % np.uint64(BINS)).astype(np.int64)
-    least = np.full(n_docs * BINS, MOST, np.uint64)
-    np.minimum.at(least, slot, hashed >> np.uint64(10))
-    byte = (shingles.mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return np.where(least == MOST, 0, byte).astype(np.uint8).reshape(n_docs, BINS)
+def _meetings(members: DataFrame) -> DataFrame:
+    """``task, side, rid, c``: bucket members (b, rid, c, n) dealt to tasks in which all pairs of different classes meet.
 
-
-def _proposed(dealt: DataFrame, best: bool, judge, similarity: float) -> DataFrame:
-    """``x, y, share`` from ``task, block, text_id, c, mark, n``: pairs of a task's texts with different c.
-
-    A task of two blocks pairs one with the other.  ``best``: for each text only the partner that agrees most.  ``judge`` rates all pairs; those of 0 or more are proposed.
-    """
-
-    def of_group(block, ids, c, mark, n):
-        inside = block[0] == block[-1] and (block == block[0]).all()
-        left = np.arange(len(ids)) if inside else np.flatnonzero(block == block[0])
-        right = left if inside else np.flatnonzero(block != block[0])
-        share = np.empty((len(left), len(right)), np.float32)
-        for i in range(0, len(left), 128):  # bounds what the judge holds besides its answer
-            part = left[i : i + 128]
-            share[i : i + 128] = judge(mark[part], mark[right], n[part], n[right], similarity)
-        share[c[left][:, None] == c[right][None]] = -1
-        if best:
-            found = [(left, right[share.argmax(axis=1)], share.max(axis=1))]
-            if not inside:
-                found.append((right, left[share.argmax(axis=0)], share.max(axis=0)))
-        else:
-            i, j = np.nonzero(share >= 0)
-            once = left[i] < right[j] if inside else np.ones(len(i), bool)
-            found = [(left[i][once], right[j][once], share[i, j][once])]
-        for x, y, s in found:
-            ok = s >= 0
-            yield ids[x[ok]], ids[y[ok]], s[ok]
-
-    def run(batches):
-        carry = None
-        for batch in batches:
-            task, block, ids, c = (batch.column(j).to_numpy() for j in range(4))
-            mark = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            new = [task, block, ids, c, mark, batch.column(5).to_numpy()]
-            if carry is not None:
-                new = [np.concatenate(z) for z in zip(carry, new)]
-            at = np.flatnonzero(np.append(True, new[0][1:] != new[0][:-1])) if len(new[0]) else np.zeros(1, int)
-            yield from over([z[: at[-1]] for z in new], at)
-            carry = [z[at[-1] :] for z in new]
-        if carry is not None and len(carry[0]):
-            yield from over(carry, np.array([0, len(carry[0])]))
-
-    def over(columns, at):
-        out = []
-        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            if j - i > 1:
-                out += of_group(*(z[i:j] for z in columns[1:]))
-        if out:
-            x, y, s = (np.concatenate(z) for z in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s.astype(float))], ["x", "y", "share"])
-
-    ordered = dealt.select("task", "block", "text_id", "c", "mark", "n").repartition("task").sortWithinPartitions("task")
-    return ordered.mapInArrow(run, "x long, y long, share double")
-
-
-def _blocks(members: DataFrame) -> DataFrame:
-    """``task, block, text_id, c``: bucket members (b, text_id, c) dealt to tasks that cover all pairs of different c.
-
-    A class with over BLOCK members in a bucket has blocks of its own, never paired with each other; other classes share blocks.
+    Rows of side 0 meet all others of their task, those of side 1 only those of side 2.
     """
-    once = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_id")).alias("h1"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("h2")]
-    mixed = members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *once).where("lo <> hi")
-    mixed = mixed.groupBy("n", "h1", "h2").agg(F.min("b").alias("b")).select("b")  # buckets with the same members are one
-    members = stored(members.join(mixed, "b", "left_semi"), "mixed")
-    per = stored(members.groupBy("b", "c").agg(F.count("*").alias("k")), "per-class")
-    shared = per.where(F.col("k") <= BLOCK).groupBy("b").agg(F.ceil(F.sum("k") / BLOCK).alias("parts"))
-    block = F.when(F.col("k") > BLOCK, F.xxhash64("c", F.pmod(F.xxhash64("text_id"), F.ceil(F.col("k") / BLOCK)))).otherwise(F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("c"), F.col("parts"))))
-    placed = members.join(per.join(shared, "b", "left"), ["b", "c"]).select("b", "text_id", "c", block.alias("block"), F.when(F.col("k") > BLOCK, F.col("c")).alias("own"))
-    placed = stored(placed, "placed")
-    blocks = placed.select("b", "block", "own").distinct()
-    p, q = blocks.toDF("b", "p", "po"), blocks.toDF("b", "q", "qo")
-    pairs = p.join(q, (p["b"] == q["b"]) & (F.col("p") <= F.col("q")) & ~F.coalesce(F.col("po") == F.col("qo"), F.lit(False))).select(p["b"], "p", "q")
-    task = F.xxhash64("b", "p", "q").alias("task")
-    return placed.join(pairs.select("b", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"), task), ["b", "block"]).select("task", "block", "text_id", "c")
+    mixed = members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
+    sizes = members.select("rid", "c").distinct().groupBy("c").agg(F.count("*").alias("texts")).where(F.col("texts") > BLOCK).select("c", F.lit(True).alias("large"))
+    here = stored(members.join(mixed, "b").join(sizes, "c", "left").withColumn("large", F.coalesce("large", F.lit(False))), "mixed")
+    # classes of usual size: bucket by bucket
+    small = here.where("not large")
+    kept = small.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *_same("rid")).where("lo <> hi")
+    kept = kept.groupBy("k", "size", "h1", "h2").agg(F.min("b").alias("b")).select("b", _parts("k", "size").alias("parts"))
+    block, other = F.pmod(F.xxhash64("rid"), F.col("parts")), F.col("other")
+    spread = small.join(kept, "b").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("block") == other, 0).when(F.col("block") < other, 1).otherwise(2)
+    usual = spread.select(F.xxhash64("b", F.least("block", "other"), F.greatest("block", "other")).alias("task"), side.alias("side"), "rid", "c")
+    # large classes: each meets its neighbours once
+    near = here.where("large").select("b", F.col("c").alias("own")).distinct()
+    around = here.join(near, "b").where("c <> own and (not large or c > own)").select("own", "rid", "c", "n").distinct()
+    inside = here.where("large").select(F.col("c").alias("own"), "rid", "c", "n").distinct()
+    count = lambda df, x: df.groupBy("own").agg(F.count("*").alias("k"), F.sum("n").alias("size")).select("own", _parts("k", "size").alias(x))
+    both = count(inside, "mine").join(count(around, "theirs"), "own")
+    meet = lambda df, own, far, s: (
+        df.join(both, "own").withColumn("i", F.pmod(F.xxhash64("rid"), F.col(own))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col(far) - 1)))
+        .select(F.xxhash64("own", F.lit("large"), *(("i", "j") if s == 1 else ("j", "i"))).alias("task"), F.lit(s).alias("side"), "rid", "c")
+    )
+    return usual.unionByName(meet(inside, "mine", "theirs", 1)).unionByName(meet(around, "theirs", "mine", 2))
 
 
 def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, text_id``: class_id is the least doc_id of the class, text_id the least one with the same text."""
-    far = 1 - similarity + 1e-9
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    # equal texts are one; the least doc_id stands for them
-    banded = stored(_banded(docs.withColumnRenamed("doc_id", "text_id")), "bands")
-    copies = stored(banded.groupBy("digest").agg(F.min("text_id").alias("least")).join(banded.select("digest", F.col("text_id").alias("doc_id")), "digest").select("doc_id", F.col("least").alias("text_id")), "copies")
-    texts = copies.select("text_id").distinct()
-    single = stored(banded.dropDuplicates(["text_id"]).join(texts, "text_id", "left_semi"), "single")
-    buckets = single.select("text_id", F.explode("bands").alias("b"))
-    shared = stored(buckets.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    wanted = stored(buckets.join(shared, "b", "left_semi").select("text_id").distinct(), "wanted")
-    marks = stored(single.join(wanted, "text_id", "left_semi").select("text_id", "mark", F.lit(0).cast("long").alias("n")), "marks")
-    sets = stored(_elements(docs.withColumnRenamed("doc_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])), "elements")
-
-    known = classes = None
-    best = True
-    while True:
-        if classes is None:
-            # a few bands join most of what belongs together
-            few = single.select("text_id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("b")).join(shared, "b")
-            block = F.xxhash64("b", F.pmod(F.xxhash64("text_id", "b"), F.ceil(F.col("n") / BLOCK)))
-            dealt = few.select(block.alias("task"), F.lit(0).cast("long").alias("block"), "text_id", F.col("text_id").alias("c"))
-        else:
-            of = single.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
-            dealt = _blocks(of.select("text_id", F.coalesce("class_id", "text_id").alias("c"), F.explode("bands").alias("b")))
-        rated = marks if classes is None else sets.select("text_id", F.col("sketch").alias("mark"), F.size("elements").cast("long").alias("n"))
-        found = _proposed(dealt.join(rated, "text_id"), best, _by_signature if classes is None else _by_sketch, similarity)
-        if best:
-            found = found.groupBy("x").agg(F.max_by("y", F.struct("share", F.xxhash64("y"))).alias("y"))
-        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        measured = stored(_measured(stored(pairs, "pairs"), sets), "distances")
-        known = measured if known is None else stored(known.unionByName(measured), "known")
-        later = classes is not None
-        linked = not later or not measured.where(F.col("distance") <= far).isEmpty()
-        if linked:
-            classes = components(known.where(F.col("distance") <= far))
-        if not best:
-            break
-        # best partners go on while they join classes; then only pairs that are just too far apart are left
-        best = linked
-    out = copies.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id")
+    """``doc_id, class_id, text_id, digest`` of every row: the least doc_id of the class, the least one with the same text, and the text's SHA-256."""
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    banded = stored(_banded(docs).withColumn("rid", F.monotonically_increasing_id()), "bands")
+    # equal texts are one; the row with the least number stands for them
+    texts = stored(banded.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("text_id")), "texts")
+    single = stored(banded.join(texts.select("rid"), "rid", "left_semi").select("rid", "n", "bands"), "single")
+    buckets = single.select("rid", "n", F.posexplode("bands").alias("band", "b"))
+    shared = buckets.groupBy("b").agg(F.min("band").alias("band"), *_same("rid")).where("k > 1")
+    # buckets with the same members are one
+    shared = stored(shared.groupBy("k", "size", "h1", "h2").agg(F.min("b").alias("b"), F.min("band").alias("band")).select("b", "band", _parts("k", "size").alias("parts")), "shared")
+    members = stored(buckets.select("b", "rid", "n").join(shared, "b"), "members")
+    dropped(single, shared)
+
+    def met(dealt: DataFrame) -> DataFrame:
+        """Links of the dealt texts; what a text meets travels with it."""
+        wanted = dealt.groupBy("rid", "c").agg(F.collect_list(F.struct("task", "side")).alias("to"))
+        rows = wanted.join(banded.select("rid", "n", "mark", "elements"), "rid")
+        return _links(rows.select(F.explode("to").alias("to"), "c", "n", "mark", "elements").select("to.task", "to.side", "c", "n", "mark", "elements"), similarity)
+
+    first = members.where(F.col("band") < FIRST_BANDS)
+    task = F.xxhash64("b", F.pmod(F.xxhash64("rid", "b"), F.col("parts")))
+    links = stored(met(first.select(task.alias("task"), F.lit(0).alias("side"), "rid", F.col("rid").alias("c"))), "first-links")
+    classes = components(links)
+    of = stored(members.select("b", "rid", "n").join(classes.withColumnRenamed("id", "rid"), "rid", "left").select("b", "rid", "n", F.coalesce("class_id", "rid").alias("c")), "classed")
+    more = stored(met(_meetings(of)), "second-links")
+    above = components(more)
+    joined = classes.join(above.select(F.col("id").alias("class_id"), F.col("class_id").alias("top")), "class_id", "left").select("id", F.coalesce("top", "class_id").alias("class"))
+    joined = joined.unionByName(above.join(classes, "id", "left_anti").select("id", F.col("class_id").alias("class")))
+    named = texts.join(joined.withColumnRenamed("id", "rid"), "rid", "left").select("digest", "text_id", F.coalesce("class", "rid").alias("class"))
+    named = stored(named, "named")
+    least = named.groupBy("class").agg(F.min("text_id").alias("class_id"))
+    out = stored(banded.select("doc_id", "digest").join(named.join(least, "class").select("digest", "class_id", "text_id"), "digest").select("doc_id", "class_id", "text_id", "digest"), "near-duplicates")
+    dropped(banded, texts, members, links, classes, of, more, above, named)
+    return out
 
 
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id")
 
 
 QUERIES = {"op6_bagminhash": op6_bagminhash}
