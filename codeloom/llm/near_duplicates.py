@@ -104,10 +104,7 @@ def _runs(texts: list[bytes]):
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, n, bands, mark, elements`` from ``doc_id, text`` (binary).
-
-    ``mark`` has a byte of each place of the signature, ``elements`` the n hashes of the shingle multiset in order.
-    """
+    """``doc_id, digest, n, bands, mark, text`` from ``doc_id, text`` (binary); ``mark`` has a byte of each place of the signature, n counts the shingles."""
     import hashlib
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -119,21 +116,32 @@ def _banded(docs: DataFrame) -> DataFrame:
                 doc, key, times = shingles.shingle_counts(texts)
                 places = signatures(doc, key, times, len(texts))
                 has = np.bincount(doc, minlength=len(texts)) > 0
-                owner, element = shingles.elements(doc, key, times)
-                order = np.lexsort((element, owner))
-                sizes = np.bincount(owner, minlength=len(texts))
-                edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 bands = band_keys(places)[has].reshape(-1)
-                band_edges = np.concatenate([[0], np.cumsum(np.where(has, PLACES // ROWS, 0))]).astype(np.int32)
-                columns = [
-                    batch.column(0).slice(at, len(texts)), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(sizes.astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(band_edges), pa.array(bands)), pa.array([m.tobytes() for m in places.astype(np.uint8)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(element[order].view(np.int64))),
-                ]
+                edges = np.concatenate([[0], np.cumsum(np.where(has, PLACES // ROWS, 0))]).astype(np.int32)
+                ids, whole = (batch.column(k).slice(at, len(texts)) for k in (0, 1))
+                sizes = np.bincount(doc, weights=times, minlength=len(texts)).astype(np.int64)
+                columns = [ids, pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands)), pa.array([m.tobytes() for m in places.astype(np.uint8)], pa.binary()), whole]
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "bands", "mark", "elements"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "bands", "mark", "text"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n long, bands array<long>, mark binary, text binary")
+
+
+def _multisets(texts: DataFrame) -> DataFrame:
+    """``rid, n, mark, elements`` from ``rid, n, mark, text``: the hashes of the shingle multiset in order."""
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for run_ in _runs(batch.column(3).to_pylist()):
+                owner, element = shingles.elements(*shingles.shingle_counts(run_))
+                order = np.lexsort((element, owner))
+                edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(run_)))]).astype(np.int32)
+                known = [batch.column(k).slice(at, len(run_)) for k in range(3)]
+                at += len(run_)
+                yield pa.RecordBatch.from_arrays([*known, pa.ListArray.from_arrays(pa.array(edges), pa.array(element[order].view(np.int64)))], ["rid", "n", "mark", "elements"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n long, bands array<long>, mark binary, elements array<long>")
+    return texts.mapInArrow(run, "rid long, n long, mark binary, elements array<long>")
 
 
 def sketches(doc: np.ndarray, element: np.ndarray, n_docs: int) -> np.ndarray:
@@ -392,11 +400,13 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
     shared = stored(shared.groupBy("k", "size", "h1", "h2").agg(F.min("b").alias("b"), F.min("band").alias("band")).select("b", "band", _parts("k", "size").alias("parts")), "shared")
     members = stored(buckets.select("b", "rid", "n").join(shared, "b"), "members")
     dropped(single, shared)
+    # no side of this join is broadcast: both grow with the corpus
+    sets = stored(_multisets(banded.select("rid", "n", "mark", "text").join(members.select("rid").distinct().hint("merge"), "rid", "left_semi")), "multisets")
 
     def met(dealt: DataFrame) -> DataFrame:
         """Links of the dealt texts; what a text meets travels with it."""
         wanted = dealt.groupBy("rid", "c").agg(F.collect_list(F.struct("task", "side")).alias("to"))
-        rows = wanted.join(banded.select("rid", "n", "mark", "elements"), "rid")
+        rows = wanted.hint("merge").join(sets, "rid")
         return _links(rows.select(F.explode("to").alias("to"), "c", "n", "mark", "elements").select("to.task", "to.side", "c", "n", "mark", "elements"), similarity)
 
     first = members.where(F.col("band") < FIRST_BANDS)
@@ -412,7 +422,7 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
     named = stored(named, "named")
     least = named.groupBy("class").agg(F.min("text_id").alias("class_id"))
     out = stored(banded.select("doc_id", "digest").join(named.join(least, "class").select("digest", "class_id", "text_id"), "digest").select("doc_id", "class_id", "text_id", "digest"), "near-duplicates")
-    dropped(banded, texts, members, links, classes, of, more, above, named)
+    dropped(banded, texts, members, sets, links, classes, of, more, above, named)
     return out
 
 
