@@ -4,7 +4,7 @@ Pieces are dealt to partitions of bounded size; each runs best-fit decreasing on
 its own.  Dual feasible functions give a lower bound from the partition's length
 histogram: a partition that meets it is finished.  The others exchange documents
 (they are dealt anew, together) and run again, and what improves is kept.  At the end
-each partition's loosest bin goes into one more exchange, because rounding up loses
+the loosest bin of every partition, certified or not, goes into one more exchange, because rounding up loses
 a part of a bin for each partition.
 
 Edge cases: a null or empty text is a document of the end id alone; equal rows are packed
@@ -14,6 +14,8 @@ like any others; an empty table gives no rows; other columns play no part.
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -27,27 +29,84 @@ from .common import stored, table, text_or_empty
 GROUP_PIECES = 20_000  # pieces a partition packs at once
 ROUNDS = 2
 
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes; white space never joins words here, so words are encoded one by one."""
+    """Ids as little-endian 32-bit bytes.
+
+    Where the vocabulary file's own rules allow it (``tokens.words_are_safe``), words are encoded one by one and
+    remembered in lower case without the punctuation behind them; other files encode whole texts.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = tokens.load(path), tokens.Memo(b"")
+        self.tokenizer, self.memo, self.by_word = tokens.load(path), tokens.Memo(b""), tokens.words_are_safe(path)
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        if self.by_word:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+            self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, words: list[bytes]) -> None:
+        for run in tokens.by_bytes(words, len):
+            for word, e in zip(run, self.encode([w.decode() for w in run], add_special_tokens=False)):
+                self.memo[word] = array("I", e.ids).tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of letters alone are one piece each: a call encodes many, and its ids are cut behind each piece."""
+        for run in tokens.by_bytes(words, len):
+            ids = np.asarray(self.encode([b" ".join(run).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(run) or cuts[-1] != len(ids):  # the library knows other letters than Python does
+                self._each(run)
+                continue
+            body, at = ids.tobytes(), 0
+            for word, cut in zip(run, (4 * cuts).tolist()):
+                self.memo[word] = body[at:cut]
+                at = cut
+
+    def _fill(self) -> None:
+        memo, parts = self.memo, {}
+        letters, others = set(), set()
+
+        def want(word: bytes) -> None:
+            if word not in memo:
+                (letters if word.decode().isalpha() else others).add(word)
+
+        for word in set(memo.wanted):
+            core = word.rstrip(_PUNCTUATION)
+            if core and len(core) < len(word) and b"<|" not in word and core.decode()[-1].isalpha():
+                parts[word] = core, word[len(core) :]
+                want(core)
+                want(word[len(core) :])
+            else:
+                want(word)
+        memo.wanted.clear()
+        self._letters(list(letters))
+        self._each(list(others))
+        for word, (core, rest) in parts.items():
+            memo[word] = dict.__getitem__(memo, core) + dict.__getitem__(memo, rest)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memo, words = self.memo, [t.encode().split() for t in texts]  # bytes.split: ASCII white space alone
+        if not self.by_word:
+            return [array("I", e.ids).tobytes() for run in tokens.by_bytes(texts, len) for e in self.encode(run, add_special_tokens=False)]
+        memo = self.memo
         memo.trim()
-        for x in words:
-            for _ in map(memo.__getitem__, x):
-                pass
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for run in tokens.by_bytes(list(set(memo.wanted)), len):
-            for word, e in zip(run, encode([w.decode() for w in run], add_special_tokens=False)):
-                memo[word] = np.asarray(e.ids, "<u4").tobytes()
-        memo.wanted.clear()
-        return [b"".join(map(memo.__getitem__, x)) for x in words]
+        raw = [t.encode() for t in texts]
+        # bytes.split: ASCII white space alone; "<|" may begin a special string, which is matched before lower-casing
+        words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in raw]
+        found = [b"".join(map(memo.__getitem__, x)) if not memo.wanted else None for x in words]
+        if memo.wanted:
+            for x, done in zip(words, found):
+                if done is None:
+                    deque(map(memo.__getitem__, x), 0)
+            first = next((k for k, done in enumerate(found) if done is None), len(found))
+            self._fill()
+            found[max(0, first - 1) :] = [b"".join(map(memo.__getitem__, x)) for x in words[max(0, first - 1) :]]
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,39 +195,49 @@ def _packed(pieces: DataFrame, groups: int, salt: int, capacity: int) -> DataFra
 def best_fit_packing(pieces: DataFrame, *, capacity: int = 2048, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: no two pieces overlap, no sequence is longer than ``capacity``."""
     names = pieces.columns
-    done: DataFrame | None = None
-    rest, total = pieces, pieces.count()
-    added = ["sequence_id", "offset"]
+    done: list[DataFrame] = []
+    aside: list[DataFrame] = []  # the loosest bin of each partition of several, for the last exchange
 
-    def settled(df: DataFrame, turn: int) -> DataFrame:
+    def settle(df: DataFrame, turn: int) -> None:
         number = F.lit(turn << 58) + F.shiftleft(F.col("part"), 22) + F.col("bin")
-        return df.select(*names, number.alias("sequence_id"), "offset")
+        done.append(df.select(*names, number.alias("sequence_id"), "offset"))
 
-    groups = max(1, -(-total // group_pieces))
-    packed = stored(_packed(rest, groups, 0, capacity), "packed")
-    turn = 0
+    groups = max(1, -(-pieces.count() // group_pieces))
+    several = groups > 1
+    packed, turn = stored(_packed(pieces, groups, 0, capacity), "packed"), 0
     for turn in range(1, rounds + 1):
         gap = packed.where("bins > bound")
         n = gap.count()
         if groups == 1 or not n:
             break
-        again = stored(_packed(gap.select(*names), max(1, -(-n // group_pieces)), turn, capacity), "repacked")
+        groups = max(1, -(-n // group_pieces))
+        again = stored(_packed(gap.select(*names), groups, turn, capacity), "repacked")
         count = lambda df: df.select("part", "bins").distinct().agg(F.sum("bins")).first()[0]
         if count(again) >= count(gap):
             break
-        kept = settled(packed.where("bins <= bound"), turn - 1)
-        done = kept if done is None else done.unionByName(kept)
-        packed, groups = again, max(1, -(-n // group_pieces))
-    if groups > 1:
-        loose = packed.where("loosest")
-        n = loose.count()
-        again = stored(_packed(loose.select(*names), max(1, -(-n // group_pieces)), rounds + 1, capacity), "loosest")
-        last = [settled(packed.where("not loosest"), turn), settled(again, rounds + 2)]
-    else:
-        last = [settled(packed, turn)]
-    for part in last:
-        done = part if done is None else done.unionByName(part)
-    return done.select(*names, *added)
+        settle(packed.where("bins <= bound and not loosest"), turn - 1)
+        aside.append(packed.where("bins <= bound and loosest").select(*names))
+        packed = again
+    settle(packed.where("not loosest") if several else packed, turn)
+    if several:
+        loose = packed.where("loosest").select(*names)
+        for more in aside:
+            loose = loose.unionByName(more)
+        loose = stored(loose, "loosest")
+        again = _packed(loose, max(1, -(-loose.count() // group_pieces)), rounds + 1, capacity)
+        settle(stored(again, "last"), rounds + 2)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def certificate(packed: DataFrame, *, capacity: int = 2048) -> tuple[int, int]:
+    """(sequences used, sequences that any packing of these pieces needs), from the histogram of lengths."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():  # at most ``capacity`` rows
+        counts[r["length"]] = r["count"]
+    return packed.select("sequence_id").distinct().count(), lower_bound(counts, capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

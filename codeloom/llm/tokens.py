@@ -80,6 +80,28 @@ def spaces_are_safe(path: str) -> bool:
     return plain and not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
+#: fixed values: normalizers and word pattern of lower-case word vocabularies
+_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def words_are_safe(path: str) -> bool:
+    """True for lower-case BPE in which letters, single digits and other runs are pieces that end with an end-of-word token.
+
+    Then white space never joins words, A-Z may be lower-cased first, and punctuation behind a letter is a piece of its own.
+    """
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    pieces = pre[0].get("type") == "Split" and pre[0].get("pattern") == {"Regex": _WORD_PATTERN} and pre[0].get("invert") and pre[0].get("behavior") == "Removed"
+    bytes_ = len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+    normal = (spec.get("normalizer") or {}).get("normalizers") == _WORD_NORMALIZERS
+    return bool(plain and pieces and bytes_ and normal and not spec.get("post_processor") and spec["model"].get("end_of_word_suffix") == "</w>")
+
+
 _DOUBTFUL = re.compile(r"\s | \s|^ | $")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
