@@ -1,16 +1,17 @@
 """Operator 7 (native): benchmark decontamination with a distributed positional inverted index.
 
-The index holds postings (term, document, position) of the training words that
-the test windows start their search from: each window's rarest terms by corpus
-frequency.  A window's candidates come from its rarest term's postings, moved back by
-the term's offset in the window, and are intersected with the moved postings of the
-next rarest one.  What is left is compared with the words themselves, so matches are exact.
+Every text is split once.  The index holds the postings (term, document, position) of all training tokens whose
+term stands in some test window, stored as a table.  A window's search starts from its rarest terms by corpus
+frequency: candidates come from the rarest term's postings, moved back by the term's offset in the window, and are
+intersected with the moved postings of the next rarest one.  What is left is compared with the words themselves, so
+phrase matches are exact.  ``proximity`` reads the same postings for items whose rarest terms stand near each other.
 
 Only DataFrame functions run here.  The benchmark side (terms, windows) is broadcast
 when its size, which is counted first, is under a bound; beyond it Spark joins by shuffle.
 
-Edge cases: null and empty texts have no words and hit nothing; items without words have no
-windows; equal items and equal rows each count; empty tables give no hits; columns of other names play no part.
+Edge cases: documents are told apart by a row number, so null and repeated ids are rows of their own; null and empty
+texts have no words and hit nothing; items without words have no windows; equal items and equal rows each count;
+empty tables give no hits; columns of other names play no part.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import dropped, stored, table
 
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 200_000  # test windows up to which the benchmark side goes to every executor
@@ -43,82 +44,99 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def postings(documents: DataFrame, terms: DataFrame, *, doc_id: str = "doc_id", text: str = "text", small: bool = True) -> DataFrame:
-    """The inverted index for ``terms`` (column ``term``): ``term, doc_id, pos``, positions from 0."""
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.posexplode(words_of(F.col(text))).alias("pos", "term"))
-    return rows.join(_maybe_broadcast(terms, small), "term", "left_semi")
-
-
-def _probes(documents: DataFrame, windows: DataFrame, rarest: int, small: bool) -> DataFrame:
-    """``window_id, term, offset, place``: each window's rarest terms, rarest first (place 1)."""
-    terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
-    freq = postings(documents, terms, small=small).groupBy("term").count()
-    found = stored(terms.join(freq, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n")), "frequencies")
-    rows = windows.select("window_id", F.posexplode("words").alias("offset", "term")).join(_maybe_broadcast(found, small), "term")
-    first = rows.groupBy("window_id", "term", "n").agg(F.min("offset").alias("offset"))
-    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("window_id").orderBy("n", "term")))
-    # a window with a term that no document has cannot occur
-    lowest = ranked.withColumn("least", F.min("n").over(Window.partitionBy("window_id")))
-    return lowest.where((F.col("place") <= rarest) & (F.col("least") > 0)).select("window_id", "term", "offset", "place")
+class Index:
+    """Split texts (``rid, doc_id, n_words, words``) and the postings (``term, rid, pos``, positions from 0) of the terms of ``windows``."""
+
+    def __init__(self, documents: DataFrame, windows: DataFrame, small: bool, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False):
+        rows = documents.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
+        self.small = small
+        if digest:
+            rows = documents.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"), F.sha2(F.col(text), 256).alias("digest"))
+        self.split = stored(rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), *rows.columns[1:]), "split")
+        self.terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
+        each = self.split.select("rid", F.posexplode("words").alias("pos", "term"))
+        self.postings = stored(each.join(_maybe_broadcast(self.terms, small), "term", "left_semi").select("term", "rid", "pos"), "postings")
+        freq = self.postings.groupBy("term").count()
+        self.frequencies = stored(self.terms.join(freq, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n")), "frequencies")
+
+    def probes(self, windows: DataFrame, rarest: int) -> DataFrame:
+        """``window_id, term, offset, place``: each window's rarest terms, rarest first (place 1)."""
+        rows = windows.select("window_id", F.posexplode("words").alias("offset", "term")).join(_maybe_broadcast(self.frequencies, self.small), "term")
+        first = rows.groupBy("window_id", "term", "n").agg(F.min("offset").alias("offset"))
+        ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("window_id").orderBy("n", "term")))
+        # a window with a term that no document has cannot occur
+        lowest = ranked.withColumn("least", F.min("n").over(Window.partitionBy("window_id")))
+        return stored(lowest.where((F.col("place") <= rarest) & (F.col("least") > 0)).select("window_id", "term", "offset", "place"), "probes")
+
+    def drop(self) -> None:
+        dropped(self.terms, self.postings, self.frequencies)
+
+
+def _numbered(listed: DataFrame) -> tuple[DataFrame, bool]:
+    """The distinct windows with their ids, and whether they are few enough to broadcast."""
+    windows = stored(listed.select("words").distinct().withColumn("window_id", F.xxhash64(F.concat_ws(" ", "words"))), "distinct-windows")
+    return windows, windows.count() <= BROADCAST_WINDOWS
 
 
-def occurrences(documents: DataFrame, items: DataFrame, *, size: int = WINDOW_WORDS, rarest: int = 2) -> DataFrame:
-    """``doc_id, start, length, item_id``: every place where a window of an item stands, word for word.
+def occurrences(index: Index, listed: DataFrame, windows: DataFrame, *, rarest: int = 2) -> DataFrame:
+    """``rid, start, length, item_id``: every place where a window of an item stands, word for word.
 
     A place where several items' windows stand has a row for each item.
     """
-    listed = stored(windows_of(items, size=size), "windows")
-    # items share windows: the search runs over distinct ones
-    windows = stored(listed.select("words").distinct().withColumn("window_id", F.xxhash64(F.concat_ws(" ", "words"))), "distinct-windows")
-    small = windows.count() <= BROADCAST_WINDOWS
-    probes = stored(_probes(documents, windows, rarest, small), "probes")
-    index = documents.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    moved = index.join(_maybe_broadcast(probes, small), "term").select("doc_id", "window_id", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    small = index.small
+    probes = index.probes(windows, rarest)
+    moved = index.postings.join(_maybe_broadcast(probes, small), "term").select("rid", "window_id", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
     # the lists meet: a start is left when each of the window's rarest terms stands at its offset
     needed = probes.groupBy("window_id").agg(F.max("place").alias("needed"))
-    met = moved.groupBy("doc_id", "window_id", "start").agg(F.count("*").alias("lists"))
-    candidates = stored(met.join(_maybe_broadcast(needed, small), "window_id").where("lists >= needed").select("doc_id", "window_id", "start"), "candidates")
-    # the words themselves: only documents with a candidate are split again
-    per_doc = candidates.join(_maybe_broadcast(windows, small), "window_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "window_id", "words")).alias("tries"))
-    texts = documents.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", words_of(F.col("text")).alias("all"), "tries")
-    right = F.filter("tries", lambda t: F.slice(F.col("all"), t["start"] + 1, F.size(t["words"])) == t["words"])
-    hits = texts.select("doc_id", F.explode(right).alias("t")).select("doc_id", F.col("t.start").alias("start"), F.size("t.words").alias("length"), F.col("t.window_id").alias("window_id")).distinct()
+    met = moved.groupBy("rid", "window_id", "start").agg(F.count("*").alias("lists"))
+    candidates = stored(met.join(_maybe_broadcast(needed, small), "window_id").where("lists >= needed").select("rid", "window_id", "start"), "candidates")
+    # the words themselves, of documents with a candidate; each document's tries are gathered as numbers only
+    tries = candidates.groupBy("rid").agg(F.collect_list(F.struct("start", "window_id")).alias("tries"))
+    there = F.explode(F.transform("tries", lambda t: F.struct(t["start"].alias("start"), t["window_id"].alias("window_id"), F.slice(F.col("words"), t["start"] + 1, WINDOW_WORDS).alias("found"))))
+    shown = index.split.select("rid", "words").join(tries, "rid").select("rid", there.alias("t")).select("rid", "t.*")
+    same = F.slice("found", 1, F.size("words")) == F.col("words")
+    hits = shown.join(_maybe_broadcast(windows, small), "window_id").where(same).select("rid", "start", F.size("words").alias("length"), "window_id")
     named = listed.select("item_id", F.xxhash64(F.concat_ws(" ", "words")).alias("window_id"))
-    return hits.join(_maybe_broadcast(named, small), "window_id").select("doc_id", "start", "length", "item_id")
+    return hits.join(_maybe_broadcast(named, small), "window_id").select("rid", "start", "length", "item_id")
 
 
-def proximity(documents: DataFrame, terms: list[str], *, within: int) -> DataFrame:
-    """``doc_id, start, end`` for each place where ``terms`` (distinct) stand within ``within`` words of the first of them.
+def proximity(documents: DataFrame, items: DataFrame, *, within: int = 20, rarest: int = 3, size: int = WINDOW_WORDS) -> DataFrame:
+    """``doc_id, item_id, start, end``: places where the rarest terms of an item's window stand, in any order, in at most ``within`` words.
 
-    The rarest way round is not needed here: positions of the few terms are merged by document and each
-    occurrence looks ahead for the nearest of every other term.
+    A match ends at each posting that completes a set; its start is the latest that the other terms allow.
     """
-    spark = documents.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-    index = postings(documents, wanted)
-    ahead = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = index
-    for k, t in enumerate(terms):
-        rows = rows.withColumn(f"_n{k}", F.min(F.when(F.col("term") == t, F.col("pos"))).over(ahead))
-    last = F.greatest(*(F.col(f"_n{k}") for k in range(len(terms)))) if len(terms) > 1 else F.col("_n0")
-    whole = F.lit(True)
-    for k in range(len(terms)):
-        whole = whole & F.col(f"_n{k}").isNotNull()
-    return rows.where(whole & (last - F.col("pos") <= within)).select("doc_id", F.col("pos").alias("start"), last.alias("end")).distinct()
+    listed = stored(windows_of(items, size=size), "windows")
+    windows, small = _numbered(listed)
+    index = Index(documents, windows, small)
+    probes = index.probes(windows, rarest)
+    placed = index.postings.join(_maybe_broadcast(probes, small), "term").select("rid", "window_id", "place", "pos")
+    before = Window.partitionBy("rid", "window_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.max(F.when(F.col("place") == k, F.col("pos"))).over(before) for k in range(1, rarest + 1)]
+    needed = probes.groupBy("window_id").agg(F.max("place").alias("needed"))
+    rows = placed.select("rid", "window_id", "pos", *(x.alias(f"last{k}") for k, x in enumerate(last, 1))).join(_maybe_broadcast(needed, small), "window_id")
+    known = [F.when(F.col("needed") >= k, F.coalesce(f"last{k}", F.lit(-(2**30)))).otherwise(F.col("pos")) for k in range(1, rarest + 1)]
+    first = F.least(*known) if len(known) > 1 else known[0]
+    near = rows.select("rid", "window_id", first.alias("start"), F.col("pos").alias("end")).where(F.col("end") - F.col("start") < within)
+    named = listed.select("item_id", F.xxhash64(F.concat_ws(" ", "words")).alias("window_id"))
+    found = near.join(_maybe_broadcast(named, small), "window_id").select("rid", "item_id", "start", "end").distinct()
+    return found.join(index.split.select("rid", "doc_id"), "rid").select("doc_id", "item_id", "start", "end")
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = stored(occurrences(docs, items), "occurrences")
-    places = found.groupBy("doc_id", "start").agg(F.max("length").alias("length"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    listed = stored(windows_of(items), "windows")
+    windows, small = _numbered(listed)
+    index = Index(documents, windows, small, doc_id=doc_id, text=text)
+    found = stored(occurrences(index, listed, windows), "occurrences")
+    index.drop()
+    places = found.groupBy("rid", "start").agg(F.max("length").alias("length"))
+    before = Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     covered = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
-    hit = places.select("doc_id", covered.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_hit"))
-    names = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    marks = stored(hit.join(names, "doc_id"), "marks")
-    out = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).join(marks, "doc_id", "left")
+    hit = places.select("rid", covered.alias("n")).groupBy("rid").agg(F.sum("n").alias("n_hit"))
+    names = found.groupBy("rid").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    marks = stored(hit.join(names, "rid"), "marks")
+    out = index.split.select("rid", "doc_id", "n_words").join(marks, "rid", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -127,6 +145,18 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_
     )
 
 
+def clean(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents`` in which no window of an item stands; a text that is hit goes wherever it stands."""
+    listed = stored(windows_of(items), "windows")
+    windows, small = _numbered(listed)
+    index = Index(documents, windows, small, doc_id=doc_id, text=text, digest=True)
+    hit = occurrences(index, listed, windows).select("rid").distinct()
+    digests = stored(index.split.select("rid", "digest").join(hit, "rid").select(F.col("digest").alias("_hit")).distinct(), "hit-texts")
+    index.drop()
+    dropped(index.split)
+    return documents.join(digests, F.sha2(F.col(text), 256) == F.col("_hit"), "left_anti")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
