@@ -7,14 +7,14 @@ Both refer to the response's record id, keep its target, date and payload digest
 record ids are name-based, so a task that runs again makes the same ones.  Everything is one pass without a shuffle.
 
 Edge cases: null html is an empty payload, null url an empty target; a response whose HTTP head has no end is all payload;
-broken markup never fails (an unclosed tag, comment or script runs to the end of the text); equal pages give equal
+broken markup never fails (an unclosed tag, comment or script runs to the end of the text); a record with a bad length ends at the next record, a broken gzip
+member ends the file; equal pages give equal
 texts, and equal rows equal records; empty tables give no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
@@ -64,19 +64,42 @@ def _head(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def inflated(data: bytes) -> bytes:
+    """The bytes of all gzip members one after another; a broken or cut member ends them."""
+    out, rest = [], data
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error:
+            break
+        rest = member.unused_data
+    return b"".join(out)
+
+
 def parse_records(data: bytes):
-    """(headers, block) of each record of a WARC file's bytes."""
+    """(headers, block) of each record of a WARC file's bytes.
+
+    A length that is missing or no whole number is taken as everything up to the next record; a length beyond the end as the end.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = inflated(data)
     at = data.find(b"WARC/")
     while at >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         headers = _head(data[at:end])
-        size = int(next((v for k, v in headers if k.lower() == "content-length"), "0"))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = data.find(b"WARC/", end + 4 + size)
+        size = next((v for k, v in headers if k.lower() == "content-length"), "")
+        begin = end + 4
+        if size.isascii() and size.isdigit():
+            stop = min(len(data), begin + int(size))
+            yield headers, data[begin:stop]
+            at = data.find(b"WARC/", stop)
+        else:
+            at = data.find(b"\r\n\r\nWARC/", end)
+            yield headers, data[begin:at] if at >= begin else data[begin:] if at < 0 else b""
+            at = at + 4 if at >= 0 else -1
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
