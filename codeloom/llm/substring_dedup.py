@@ -17,7 +17,8 @@ A run of documents resolves its own repeats before it sends anything, so a passa
 documents share reaches a shard once for each run.  Texts travel once, compressed.
 
 Edge cases: null and empty texts have nothing to remove; equal texts lose all bytes from the second id on if
-they have ``span`` bytes; rows that share a doc_id are judged each on its own against smaller ids; an empty
+they have ``span`` bytes; ids are whole numbers, a null id is smaller than
+all others; rows that share a doc_id are judged each on its own against smaller ids; an empty
 table gives no rows; other columns play no part.
 """
 
@@ -38,6 +39,7 @@ from .shingles import mix
 SPAN, Q = 50, 24
 RUN_BYTES = 3_000_000
 PART_BYTES = 1_000_000  # undecided bytes whose suffixes are sorted together, but for one anchor with more
+NO_ID = -(2**63)  # stands for a null id
 SEGMENT = 250_000  # windows hashed at once
 
 
@@ -193,7 +195,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document (and ``kept``, its remaining bytes, if wanted)."""
     spark = documents.sparkSession
     shards = shards_for(spark)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     if rows.isEmpty():
@@ -385,7 +387,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
             kept = home.data[a : a + n][~c].tobytes()
             removed = n - len(kept)
             spans = int(np.count_nonzero(c[1:] & ~c[:-1]) + (n > 0 and bool(c[0]))) if removed else 0
-            row = (d, n, removed, spans, hashlib.sha256(kept).hexdigest())
+            row = (None if d == NO_ID else d, n, removed, spans, hashlib.sha256(kept).hexdigest())
             yield (*row, kept) if with_text else row
 
     return spark.createDataFrame(blobs.together(replied, refined, sent).mapPartitionsWithIndex(finish), schema, verifySchema=False)
