@@ -14,8 +14,8 @@ task; the model itself never has to be in one place.  In five steps over packed
 
 Step 5 reads the same shuffle files as step 2.
 
-Edge cases: null and empty texts are the end token alone; equal rows train twice and are each scored once
-(rows that share a doc_id get the sum over these rows, n_tokens included); an empty table gives no rows;
+Edge cases: null and empty texts are the end token alone; equal rows train twice and are each scored once;
+rows that share a doc_id are documents of their own, a null id counts as the empty text; ids are whole numbers; an empty table gives no rows;
 unknown words share the model's unseen mass; other columns play no part.
 """
 
@@ -41,7 +41,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 def held_out(doc_id) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 10 == 0
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 == 0
 
 
 def _hashes(words) -> np.ndarray:
@@ -63,8 +63,8 @@ def _spread(v: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.nd
     return out
 
 
-def _events(ids: np.ndarray, texts: list[bytes], hot: np.ndarray, shards: int):
-    """(shard, message) of a run of documents: sorted hashes of contexts and words, and events sorted by both."""
+def _events(rows_: np.ndarray, ids: list, texts: list[bytes], hot: np.ndarray, shards: int):
+    """(shard, message) of a run of documents (row numbers, ids, texts): sorted hashes of contexts and words, and events sorted by both; and each row's id, to the row's own shard."""
     number = defaultdict(itertools.count(2).__next__)  # 0 start, 1 end
     rows = [np.fromiter(map(number.__getitem__, t.translate(_LOWER).split()), np.int64) for t in texts]
     known = np.concatenate([np.array([START, END]), _hashes(number)])
@@ -85,20 +85,27 @@ def _events(ids: np.ndarray, texts: list[bytes], hot: np.ndarray, shards: int):
     order = np.argsort(key) if key is not None else np.lexsort((place[w], place[v], shard))
     v, w, doc, shard, ordered = place[v][order], place[w][order], doc[order], shard[order], known[rank]
     edges = blobs.groups(shard)
-    training = np.array([not held_out(i) for i in ids.tolist()], np.uint8)
+    training = np.array([not held_out(i) for i in ids], np.uint8)
     for a, b in zip(edges[:-1], edges[1:]):
         vs, v_of = np.unique(v[a:b], return_inverse=True)
         ws, w_of = np.unique(w[a:b], return_inverse=True)
         docs, d_of = np.unique(doc[a:b], return_inverse=True)
         first = lambda h: np.diff(h, prepend=np.uint64(0))
-        yield int(shard[a]), blobs.pack(ids[docs], training[docs], first(ordered[vs]), blobs.small(np.bincount(v_of)), first(ordered[ws]), blobs.small(w_of), blobs.small(d_of))
+        yield int(shard[a]), blobs.pack(rows_[docs], training[docs], first(ordered[vs]), blobs.small(np.bincount(v_of)), first(ordered[ws]), blobs.small(w_of), blobs.small(d_of))
+    home = (shingles.mix(rows_.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    known_id, none = np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8)
+    for h in np.unique(home).tolist():
+        at = np.flatnonzero(home == h)
+        yield h, blobs.pack(np.diff(rows_[at], prepend=0), known_id[at], none[at])
 
 
 class Shard:
-    """A shard's events, merged from its messages."""
+    """A shard's events, merged from its messages; ``named`` has the messages with rows' ids."""
 
     def __init__(self, messages: list[bytes]):
-        parts = [blobs.unpack(m) for m in messages]
+        parts = [blobs.unpack(m) for m in sorted(messages)]  # in one order, so that sums are the same each time
+        self.named = [p for p in parts if len(p) == 3]
+        parts = [p for p in parts if len(p) > 3]
         vs = [np.cumsum(p[2], dtype=np.uint64) for p in parts]
         ws = [np.cumsum(p[4], dtype=np.uint64) for p in parts]
         empty = np.zeros(0, np.uint64)
@@ -170,17 +177,17 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     spark = documents.sparkSession
     shards = shards_for(spark)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")).withColumn("row", F.monotonically_increasing_id())
 
     hot = _frequent(rows, shards)
 
     def send(batches):
         for batch in batches:
-            ids, texts, at, size = batch.column(0).to_numpy(), batch.column(1).to_pylist(), 0, 0
+            ids, texts, numbers, at, size = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(), 0, 0
             for k, t in enumerate(texts):
                 size += len(t)
                 if size >= RUN_BYTES or k == len(texts) - 1:
-                    found = list(_events(ids[at : k + 1], texts[at : k + 1], hot, shards))
+                    found = list(_events(numbers[at : k + 1], ids[at : k + 1], texts[at : k + 1], hot, shards))
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["key", "blob"])
                     at, size = k + 1, 0
 
@@ -244,8 +251,8 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     hot_stats = np.array([spread[int(h)] for h in hot_hash]).reshape(-1, 4)
     base_of = lambda c: np.log10((c + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
 
-    def sums(pairs):
-        """Step 5: scores of this shard's events, by document."""
+    def sums(index, pairs):
+        """Step 5: scores of this shard's events, by document; and the ids of this shard's rows, which stay here."""
         messages, words, counts = [], [], []
         for _, what in pairs:
             if isinstance(what, bytes):
@@ -256,6 +263,11 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
                 counts.append(n.astype(np.uint32))
         if not messages:
             return
+        shard = Shard(messages)
+        for p in shard.named:
+            yield index, blobs.pack(*p)
+        if not len(shard.docs):
+            return
         order = np.argsort(np.concatenate(words))
         with tempfile.NamedTemporaryFile() as f:  # sorted hash arrays: hashes, then continuation counts
             f.write(np.concatenate(words)[order].tobytes() + np.concatenate(counts)[order].tobytes())
@@ -263,7 +275,6 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
             n = len(order)
             hashes = np.memmap(f.name, np.uint64, "r", 0, (n,))
             continued = np.memmap(f.name, np.uint32, "r", 8 * n, (n,))
-        shard = Shard(messages)
         k = continued[np.searchsorted(hashes, shard.words)].astype(np.int64)
         p1 = (np.maximum(k - d1[np.minimum(k, 3)], 0) / total1 if total1 else np.zeros(len(k))) + spare * uniform
         stats = shard.statistics()
@@ -288,26 +299,28 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         edges = blobs.groups(bucket[order])
         for a, b in zip(edges[:-1], edges[1:]):
             i = order[a:b]
-            yield int(bucket[i[0]]), blobs.pack(np.diff(shard.docs[i], prepend=0), score_[i], base[i], blobs.small(n_tok[i]), blobs.small(n_known[i]), blobs.small(starts[i]))
+            yield int(bucket[i[0]]), blobs.pack(np.array([index]), np.diff(shard.docs[i], prepend=0), score_[i], base[i], blobs.small(n_tok[i]), blobs.small(n_known[i]), blobs.small(starts[i]))
 
-    added = blobs.resent(blobs.together(answered, events).mapPartitions(sums), shards)
+    added = blobs.resent(blobs.together(answered, events).mapPartitionsWithIndex(sums), shards)
 
     def rows_of(pairs):
-        parts = [blobs.unpack(b) for _, b in pairs]
+        found = [blobs.unpack(b) for _, b in pairs]
+        parts = sorted((p for p in found if len(p) > 3), key=lambda p: int(p[0][0]))
         if not parts:
             return
-        ids = [np.cumsum(p[0]) for p in parts]
+        names = {d: (None if none else i) for p in found if len(p) == 3 for d, i, none in zip(np.cumsum(p[0]).tolist(), p[1].tolist(), p[2].tolist())}
+        ids = [np.cumsum(p[1]) for p in parts]
         docs = np.unique(np.concatenate(ids))
         total = np.zeros((5, len(docs)))
         for i, p in zip(ids, parts):
             at = np.searchsorted(docs, i)
             for j in range(5):
-                total[j, at] += p[j + 1]
+                total[j, at] += p[j + 2]
         ends = total[4]
         known = total[3] + ends * (documents_trained > 0)
         base = total[1] + ends * base_of(documents_trained)
         for d, s, b, n, k in zip(docs.tolist(), total[0].tolist(), base.tolist(), total[2].tolist(), known.tolist()):
-            yield d, held_out(d), int(n), int(k), n_tokens, b, s
+            yield names[d], held_out(names[d]), int(n), int(k), n_tokens, b, s
 
     return spark.createDataFrame(added.mapPartitions(rows_of), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", verifySchema=False)
 
