@@ -388,7 +388,7 @@ def _meetings(members: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, text_id, digest`` of every row: the least doc_id of the class, the least one with the same text, and the text's SHA-256."""
+    """``doc_id, class_id, text_id, digest, class`` of every row: the least doc_id of the class, the least one with the same text, the text's SHA-256, and a number of the class that is its own."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     banded = stored(_banded(docs).withColumn("rid", F.monotonically_increasing_id()), "bands")
     # equal texts are one; the row with the least number stands for them
@@ -421,11 +421,22 @@ def near_duplicate_classes(documents: DataFrame, *, doc_id: str = "doc_id", text
     named = texts.join(joined.withColumnRenamed("id", "rid"), "rid", "left").select("digest", "text_id", F.coalesce("class", "rid").alias("class"))
     named = stored(named, "named")
     least = named.groupBy("class").agg(F.min("text_id").alias("class_id"))
-    out = stored(banded.select("doc_id", "digest").join(named.join(least, "class").select("digest", "class_id", "text_id"), "digest").select("doc_id", "class_id", "text_id", "digest"), "near-duplicates")
+    out = stored(banded.select("doc_id", "digest").join(named.join(least, "class").select("digest", "class_id", "text_id", "class"), "digest").select("doc_id", "class_id", "text_id", "digest", "class"), "near-duplicates")
     dropped(banded, texts, members, sets, links, classes, of, more, above, named)
     return out
 
 
+def first_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``documents`` that stay: one of each class, with the least doc_id (null last); rows equal in id and text are one."""
+    classes = near_duplicate_classes(documents, doc_id=doc_id, text=text, similarity=similarity)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    kept = classes.groupBy("class").agg(least).select(F.col("least.doc_id").alias("_kept_id"), F.col("least.digest").alias("_kept_digest"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256))
+    rows = documents.withColumn("_digest", digest)
+    same = (F.col("_digest") == F.col("_kept_digest")) & F.col(doc_id).eqNullSafe(F.col("_kept_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "_digest"]).drop("_digest")
+
+
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id")
 

@@ -12,7 +12,8 @@ Only DataFrame functions run on the executors; the two models are fitted by the
 the pattern counts.  Positions are code points, ends exclusive.
 
 Edge cases: null and empty texts have no spans; very long runs of digits or letters cost linear time
-(possessive patterns); equal rows get equal results; an empty table gives no rows; other columns play no part.
+(possessive patterns); null and repeated ids are rows of their own,
+since spans never leave their row; equal rows get equal results; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -85,17 +86,18 @@ def _clash(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
 
-def candidates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, base, extra``: spans that stay, and looser candidates (with the text before them) that overlap none of those."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def candidates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """``doc_id, base, extra``: spans that stay, and looser candidates (with the text before them) that overlap none of those; ``row`` with all columns if wanted."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if keep else []
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *row)
     t = F.col("text")
     base = F.filter(F.concat(*(spans_of(t, *rule) for rule in BASE)), valid)
     loose = F.concat(*(spans_of(t, *rule) for rule in LOOSE))
-    seen = docs.select("doc_id", "text", base.alias("base"), loose.alias("loose"))
+    seen = docs.select(*docs.columns, base.alias("base"), loose.alias("loose"))
     context = lambda s: F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT_CHARS), F.least(s["start"], F.lit(CONTEXT_CHARS)))
     told = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), context(s).alias("before"))
     extra = F.filter("loose", lambda s: ~F.exists("base", lambda b: _clash(s, b)))
-    return seen.select("doc_id", F.transform("base", told).alias("base"), F.transform(extra, told).alias("extra"))
+    return seen.select("doc_id", *(["row"] if keep else []), F.transform("base", told).alias("base"), F.transform(extra, told).alias("extra"))
 
 
 def votes(span: Column) -> list[Column]:
@@ -147,9 +149,9 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, mass: np.ndarray, *, round
     return w
 
 
-def detect(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``doc_id, base, spans``: arrays of (kind, start, stop); spans are base's and the accepted candidates."""
-    found = stored(candidates(documents, doc_id=doc_id, text=text), "spans")
+def detect(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: bool = False) -> DataFrame:
+    """``doc_id, base, spans``: arrays of (kind, start, stop); spans are base's and the accepted candidates; ``row`` with all columns if wanted."""
+    found = stored(candidates(documents, doc_id=doc_id, text=text, keep=keep), "spans")
     names = [f"v{i}" for i in range(7)]
     each = found.select(F.explode(F.concat("base", "extra")).alias("s")).select(F.col("s.kind").alias("kind"), *(v.alias(n) for v, n in zip(votes(F.col("s")), names)))
     kinds = [k for k, *_ in BASE + LOOSE]
@@ -177,7 +179,7 @@ def detect(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     alone = F.filter("accepted", lambda s: ~F.exists("accepted", lambda o: _clash(s, o) & (rank(o) < rank(s))))
     bare = lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     out = found.withColumn("accepted", accepted).withColumn("alone", alone)
-    return out.select("doc_id", F.array_sort(F.transform("base", bare)).alias("base"), F.array_sort(F.transform(F.concat("base", "alone"), bare)).alias("spans"))
+    return out.select("doc_id", *(["row"] if keep else []), F.array_sort(F.transform("base", bare)).alias("base"), F.array_sort(F.transform(F.concat("base", "alone"), bare)).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -192,16 +194,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 def masked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with every found span of ``text`` replaced by its kind in angle brackets; overlapping spans merge under the first one's kind."""
-    found = detect(documents, doc_id=doc_id, text=text).select(F.col("doc_id").alias("_id"), "spans").dropDuplicates(["_id"])
-    t, start = F.col(text), lambda s: s["start"]
+    found = detect(documents, doc_id=doc_id, text=text, keep=True)
+    t, start = F.col(f"row.`{text}`"), lambda s: s["start"]
     step = lambda done, s: F.struct(
         F.when(start(s) >= done["at"], F.concat(done["out"], F.substring(t, done["at"] + 1, start(s) - done["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(done["out"]).alias("out"),
         F.greatest(done["at"], s["stop"]).alias("at"),
     )
     finish = lambda done: F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t)))
-    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, finish)
-    joined = documents.join(found.where(F.size("spans") > 0), documents[doc_id] == F.col("_id"), "left")
-    return joined.withColumn(text, F.when(F.col("spans").isNotNull(), clean).otherwise(t)).drop("_id", "spans")
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, finish)).otherwise(t)
+    return found.select(*(clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in documents.columns))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ expectation-maximisation runs on that histogram: it estimates how each rule vote
 on good text and on each kind of fault, and gives each pattern a posterior probability of
 good text, which decides in place of an all-must-pass filter.
 
-Edge cases: null and empty texts have no words and fail the base rules; equal rows get equal
-verdicts; an empty table gives no rows (the model is then never applied); other columns are untouched.
+Edge cases: null and empty texts have no words and fail the base rules; null and repeated ids are rows of
+their own; equal rows get equal verdicts; an empty table gives no rows (the model is then never applied); other columns are untouched.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored, table
 
@@ -70,10 +71,11 @@ def measure(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def features(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and FEATURES of every whole text."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def features(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """``doc_id`` and FEATURES of every whole text; ``row`` with all columns of ``df`` if wanted."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if keep else []
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), *row)
+    names = ["doc_id", *(["row"] if keep else [])]
 
     def run(batches):
         for batch in batches:
@@ -84,9 +86,11 @@ def features(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
                     parts.append(measure(texts[at : k + 1]))
                     at, size = k + 1, 0
             found = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, j]) for j in range(len(FEATURES)))], ["doc_id", *FEATURES])
+            kept = [batch.column(0), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[:, j]) for j in range(len(FEATURES)))], [*names, *FEATURES])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in FEATURES))
+    schema = StructType([rows.schema[x] for x in names] + [StructField(x, LongType()) for x in FEATURES])
+    return rows.mapInArrow(run, schema)
 
 
 def _vote(bad: Column, good: Column) -> Column:
