@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame; ``run`` writes every stage's rows as a table in the shared folder and
 reads them back for the next.  All but the last stage return the columns of documents.
-Rows whose doc_id is null are dropped by the first stage, since every later decision goes by doc_id.
+Decisions go by row or by text, never by doc_id alone: null and repeated ids are rows of their own.
+Of rows that are equal in id and text the near-duplicate stage keeps one.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,35 +16,26 @@ from codeloom.llm import decontaminate, near_duplicates, packing, pii, quality
 from codeloom.llm.common import stored, table
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ``kept``."""
-    ids = kept.select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, docs["doc_id"] == F.col("_kept"), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model keeps."""
-    judged = quality.quality(stored(quality.features(docs), "features"))
-    return _only(docs, judged.where("kept"))
+    judged = quality.quality(stored(quality.features(docs, keep=True), "features"))
+    return judged.where("kept").select("row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least doc_id."""
-    classes = near_duplicates.near_duplicate_classes(docs)
-    return _only(docs, classes.where("doc_id = class_id")).dropDuplicates(["doc_id"])
+    return near_duplicates.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
-    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, marked.where("not contaminated"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    columns = docs.columns
     clean = pii.masked(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else clean.select(*columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +51,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The models, signatures and packing are not SQL; tests hold each stage against brute force.
+#: The models, signatures and packing are not SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
