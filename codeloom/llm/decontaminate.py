@@ -23,6 +23,7 @@ from .common import dropped, stored, table
 
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 200_000  # test windows up to which the benchmark side goes to every executor
+BROADCAST_ROWS = 2_000_000  # row numbers (8 bytes each) up to which documents with candidates go to every executor
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: characters between words: all ASCII but digits and lower-case letters, after lower-casing
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,7 +94,11 @@ def occurrences(index: Index, listed: DataFrame, windows: DataFrame, *, rarest:
     # the words themselves, of documents with a candidate; each document's tries are gathered as numbers only
     tries = candidates.groupBy("rid").agg(F.collect_list(F.struct("start", "window_id")).alias("tries"))
     there = F.explode(F.transform("tries", lambda t: F.struct(t["start"].alias("start"), t["window_id"].alias("window_id"), F.slice(F.col("words"), t["start"] + 1, WINDOW_WORDS).alias("found"))))
-    shown = index.split.select("rid", "words").join(tries, "rid").select("rid", there.alias("t")).select("rid", "t.*")
+    rids = candidates.select("rid").distinct()
+    texts = index.split.select("rid", "words")
+    if rids.count() <= BROADCAST_ROWS:  # other texts need not move
+        texts = texts.join(F.broadcast(rids), "rid", "left_semi")
+    shown = texts.join(tries, "rid").select("rid", there.alias("t")).select("rid", "t.*")
     same = F.slice("found", 1, F.size("words")) == F.col("words")
     hits = shown.join(_maybe_broadcast(windows, small), "window_id").where(same).select("rid", "start", F.size("words").alias("length"), "window_id")
     named = listed.select("item_id", F.xxhash64(F.concat_ws(" ", "words")).alias("window_id"))
