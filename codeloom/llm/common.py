@@ -56,6 +56,7 @@ def text_or_empty(df: DataFrame, text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def shards_for(spark: SparkSession) -> int:
-    """Number of key shards: the session's shuffle partitions, which the operator of a cluster sets to the data."""
-    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shards_for(texts: DataFrame, each: int, text: str = "text") -> int:
+    """Number of key shards: the session's shuffle partitions, or more where a shard would get over ``each`` bytes of text."""
+    total = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(4, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // each))

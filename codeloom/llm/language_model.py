@@ -36,6 +36,7 @@ from . import blobs, shingles
 from .common import shards_for, stored, table
 
 RUN_BYTES = 8_000_000
+SHARD_BYTES = 9_000_000  # text whose events a shard gets
 START, END = np.uint64(1), np.uint64(2)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -176,8 +177,8 @@ def _frequent(rows: DataFrame, shards: int) -> np.ndarray:
 def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     spark = documents.sparkSession
-    shards = shards_for(spark)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    shards = shards_for(rows, SHARD_BYTES)
 
     hot = _frequent(rows, shards)
 

@@ -38,6 +38,7 @@ from .shingles import mix
 
 SPAN, Q = 50, 24
 RUN_BYTES = 3_000_000
+SHARD_BYTES = 16_000_000  # text that a shard keeps
 PART_BYTES = 1_000_000  # undecided bytes whose suffixes are sorted together, but for one anchor with more
 NO_ID = -(2**63)  # stands for a null id
 SEGMENT = 250_000  # windows hashed at once
@@ -194,9 +195,9 @@ def _shared_windows(messages: list[bytes], span: int):
 def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document (and ``kept``, its remaining bytes, if wanted)."""
     spark = documents.sparkSession
-    shards = shards_for(spark)
     rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
+    shards = shards_for(rows, SHARD_BYTES)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     if rows.isEmpty():
         return spark.createDataFrame([], schema)
