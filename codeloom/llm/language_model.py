@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from . import blobs, shingles
 from .common import shards_for, stored, table
 
-RUN_BYTES = 8_000_000
-SHARD_BYTES = 9_000_000  # text whose events a shard gets
+RUN_BYTES = 7_000_000
+SHARD_BYTES = 17_000_000  # text whose events a shard gets
 START, END = np.uint64(1), np.uint64(2)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -113,12 +113,17 @@ class Shard:
         self.contexts, self.words = (np.unique(np.concatenate(x)) if x else empty for x in (vs, ws))
         self.docs = np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.int64)
         cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-        self.v = cat([np.repeat(np.searchsorted(self.contexts, h), p[3].astype(np.int64)) for h, p in zip(vs, parts)], np.int64)
-        self.w = cat([np.searchsorted(self.words, h)[p[5]] for h, p in zip(ws, parts)], np.int64)
-        self.doc = cat([np.searchsorted(self.docs, p[0])[p[6]] for p in parts], np.int64)
+        # places within a shard: 32 bits are enough, and an executor holds several shards
+        place = lambda known, h: np.searchsorted(known, h).astype(np.int32)
+        self.v = cat([np.repeat(place(self.contexts, h), p[3].astype(np.int64)) for h, p in zip(vs, parts)], np.int32)
+        self.w = cat([place(self.words, h)[p[5]] for h, p in zip(ws, parts)], np.int32)
+        self.doc = cat([place(self.docs, p[0])[p[6]] for p in parts], np.int32)
         training = cat([p[1][p[6]] for p in parts], bool)
-        pair = (self.v << 32) | self.w
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        del parts, vs, ws
+        pair = (self.v.astype(np.int64) << 32) | self.w
+        self.pairs, inverse = np.unique(pair, return_inverse=True)
+        del pair
+        self.pair = inverse.astype(np.int32)
         self.count = np.bincount(self.pair[training], minlength=len(self.pairs))
         self.pair_v, self.pair_w = self.pairs >> 32, self.pairs & 0xFFFFFFFF
 
