@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 SCHEMA = "path string, line int, kind string, label string, severity string, confidence string, redacted string, evidence string, reason string"
 RANK = {"low": 1, "medium": 2, "high": 3}
-#: White space of the reference's language.
+#: White space that values are trimmed of.
 _WS = "\t\n\v\f\r " + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
+#: Shapes, names and markers of secrets.
 _SHAPES = [
     (kind, label, severity, re.compile(pattern, re.ASCII), reason)
     for kind, label, severity, pattern, reason in (
@@ -60,7 +61,7 @@ def placeholder(value: str) -> bool:
 
 
 def _units(text: str) -> int:
-    """Length in UTF-16 units, as the reference counts."""
+    """Length in UTF-16 units."""
     return len(text) if text.isascii() else len(text.encode("utf-16-le")) // 2
 
 
@@ -80,7 +81,7 @@ def _clip(text: str) -> str:
 
 
 def findings(text: str) -> list[tuple[str, ...]]:
-    """(kind, label, severity, confidence, redacted, evidence, reason) of a line, in the reference's order."""
+    """(kind, label, severity, confidence, redacted, evidence, reason) of a line: shapes, assignments, then references."""
     out: dict[tuple, tuple] = {}
 
     def add(kind, label, severity, confidence, value, reason):
@@ -119,6 +120,18 @@ def scan(lines: DataFrame, *, min_confidence: str = "low", include_tests: bool =
     return wanted.where(F.col("text").rlike(_CANDIDATE)).select("path", F.col("line").cast("int"), "text").mapInArrow(detect, SCHEMA)
 
 
+def ranked(found: DataFrame, *, limit: int = 50) -> DataFrame:
+    """The findings to look at first: by confidence, severity, path and line."""
+    rank = lambda c: F.when(F.col(c) == "high", 3).when(F.col(c) == "medium", 2).otherwise(1)
+    return found.orderBy(rank("confidence").desc(), rank("severity").desc(), "path", "line", "kind", "redacted").limit(max(1, min(500, limit)))
+
+
+def risks(total) -> list[str]:
+    """What the totals (a row of ``totals``) mean, in words."""
+    said = [f"{total[k]} {k}-severity findings in {total['files']} files" for k in ("high", "medium") if total[k]]
+    return said + (["only low-severity findings: look at them when their files change"] if total["findings"] and not said else [])
+
+
 def totals(found: DataFrame) -> DataFrame:
     """One row: findings, by severity, and files with any."""
     return found.agg(F.count("*").alias("findings"), *(F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")), F.countDistinct("path").alias("files"))

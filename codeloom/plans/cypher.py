@@ -17,7 +17,7 @@ class GraphQueryError(ValueError):
     """The query is not in the supported language."""
 
 
-NODE = {"id": "id", "name": "name", "kind": "kind", "label": "kind", "language": "language", "filepath": "file_path", "file": "file_path", "qualifiedname": "qualified_name", "qualified": "qualified_name", "startline": "start_line", "endline": "end_line", "exported": "exported"}
+NODE = {"id": "id", "name": "name", "kind": "kind", "label": "kind", "language": "language", "filepath": "file_path", "file": "file_path", "qualifiedname": "qualified_name", "qualified": "qualified_name", "startline": "start_line", "endline": "end_line", "signature": "signature", "exported": "exported"}
 EDGE = {"type": "type", "source": "source", "target": "target", "weight": "weight"}
 WRITES = {"create", "merge", "set", "delete", "detach", "remove", "drop", "call", "load", "foreach", "insert", "update"}
 TOKEN = re.compile(r"""\s*(?:(?P<text>'[^']*'|"[^"]*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<sign><>|<=|>=|->|<-|[-=<>(),.:*\[\]])|(?P<word>[A-Za-z_]\w*))""")
@@ -133,7 +133,8 @@ def query_graph(symbols: DataFrame, edges: DataFrame, text: str, limit: int = 10
         if sign in ("=", "<>"):
             same = folded == p.value().lower()
             return same if sign == "=" else ~same
-        number = F.coalesce(left.try_cast("double"), F.lit(0.0))
+        leading = F.regexp_extract(left.cast("string"), r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1)
+        number = F.coalesce(leading.try_cast("double"), F.lit(0.0))
         if sign not in ("<", "<=", ">", ">="):
             raise GraphQueryError(f"unknown comparison {sign}")
         try:
@@ -168,7 +169,7 @@ def query_graph(symbols: DataFrame, edges: DataFrame, text: str, limit: int = 10
         else:
             alias, prop = p.property()
             col = column(alias, prop)
-            outputs.append((p.kind("word") if p.take("as") else f"{alias}.{prop}" if prop else alias, col))
+            outputs.append((p.kind("word") if p.take("as") else f"{alias}.{prop or 'qualifiedName'}", col))
         if not p.take(","):
             break
     if count is not None and len(outputs) > 1:
@@ -178,11 +179,23 @@ def query_graph(symbols: DataFrame, edges: DataFrame, text: str, limit: int = 10
         p.need("by")
         while True:
             key = column(*p.property())
-            order.append(key.desc() if p.take("desc") else key.asc() if p.take("asc") or True else key)
+            down = p.take("desc")
+            if not down:
+                p.take("asc")
+            order.append((key, down))
             if not p.take(","):
                 break
-    skip = int(p.kind("number")) if p.take("skip") else 0
-    most = int(p.kind("number")) if p.take("limit") else limit
+
+    def number(word: str, default: int) -> int:
+        if not p.take(word):
+            return default
+        digits = p.kind("number")
+        if not digits.isdigit():
+            raise GraphQueryError(f"{word} takes a whole number")
+        return min(int(digits), 2**31 - 1)
+
+    skip = number("skip", 0)
+    most = number("limit", limit)
     if p.rest:
         raise GraphQueryError(f"unexpected {p.rest[0][1]!r}")
 
@@ -195,28 +208,16 @@ def query_graph(symbols: DataFrame, edges: DataFrame, text: str, limit: int = 10
     if wanted is not None:
         rows = rows.where(wanted)
     if count is not None:
-        return rows.agg(outputs[0][1].alias(outputs[0][0]))
-    chosen = [c.alias(name) for name, c in outputs]
-    if distinct:
-        keys = [F.min(c).alias(f"_k{i}") for i, c in enumerate([column(*x) for x in _order_refs(text)])]
-        grouped = rows.groupBy(*chosen).agg(F.count(F.lit(1)).alias("_n"), *keys)
-        directions = [o for o in _order_directions(text)]
-        sort = [F.col(f"_k{i}").desc() if d else F.col(f"_k{i}").asc() for i, d in enumerate(directions)]
-        out = (grouped.orderBy(*sort) if sort else grouped).select(*(F.col(f"`{name}`") for name, _ in outputs))
+        out = rows.agg(outputs[0][1].alias(outputs[0][0]))  # one row, whatever its order
     else:
-        out = (rows.orderBy(*order) if order else rows).select(*chosen)
+        chosen = [c.alias(name) for name, c in outputs]
+        turned = lambda cs: [c.desc() if down else c.asc() for c, (_, down) in zip(cs, order)]
+        if distinct:
+            # keys of the order need not be among the outputs: equal rows stand where the first of them does
+            first = [(F.max if down else F.min)(key).alias(f"_k{i}") for i, (key, down) in enumerate(order)]
+            grouped = rows.groupBy(*chosen).agg(F.count(F.lit(1)).alias("_n"), *first)
+            keys = turned([F.col(f"_k{i}") for i in range(len(order))])
+            out = (grouped.orderBy(*keys) if keys else grouped).select(*(F.col(f"`{name}`") for name, _ in outputs))
+        else:
+            out = (rows.orderBy(*turned([key for key, _ in order])) if order else rows).select(*chosen)
     return out.offset(skip).limit(min(max(most, 1), 500)) if skip else out.limit(min(max(most, 1), 500))
-
-
-def _order_part(text: str) -> list[str]:
-    m = re.search(r"(?is)\border\s+by\s+(.*?)(?:\bskip\b|\blimit\b|;|$)", text)
-    return [x.strip() for x in m[1].split(",")] if m else []
-
-
-def _order_refs(text: str) -> list[tuple[str, str | None]]:
-    refs = [x.split()[0].partition(".") for x in _order_part(text)]
-    return [(a, b or None) for a, _, b in refs]
-
-
-def _order_directions(text: str) -> list[bool]:
-    return [x.lower().endswith(" desc") for x in _order_part(text)]

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..operators import analytics as A
 from ..operators import graph as G
 from ..operators import search as S
-from ..operators import secrets as X
 from ..operators import vectors as V
 from .views import register, with_views
 
@@ -51,7 +50,7 @@ def cypher_node_filter(spark):
     return run_cypher(spark, "MATCH (n:Class) WHERE n.startLine > 40 RETURN n.name, n.startLine ORDER BY n.name LIMIT 100")
 
 
-@query("cypher_or_precedence", "SELECT qualified_name AS n FROM symbols WHERE kind = 'method' AND start_line = 7 OR name LIKE '%_12' ORDER BY qualified_name LIMIT 200")
+@query("cypher_or_precedence", "SELECT qualified_name AS \"n.qualifiedName\" FROM symbols WHERE kind = 'method' AND start_line = 7 OR name LIKE '%_12' ORDER BY qualified_name LIMIT 200")
 def cypher_or_precedence(spark):
     return run_cypher(spark, "MATCH (n) WHERE n.kind = 'method' AND n.startLine = '7' OR n.name ENDS WITH '_12' RETURN n ORDER BY n.qualifiedName LIMIT 200")
 
@@ -79,29 +78,31 @@ def cypher_in(spark):
 _DEGREES = "SELECT q, sum(i) AS i, sum(o) AS o, count(*) AS d FROM (SELECT source AS q, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target, 1, 0 FROM edges) e GROUP BY q"
 
 
-@query("graph_search_degree", f"SELECT qualified_name, name, kind, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(d, 0) AS degree FROM symbols LEFT JOIN ({_DEGREES}) x ON q = qualified_name WHERE coalesce(d, 0) >= 2 ORDER BY degree DESC, name LIMIT 50")
+@query("graph_search_degree", f"SELECT qualified_name, name, kind, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(d, 0) AS degree FROM symbols LEFT JOIN ({_DEGREES}) x ON q = qualified_name WHERE coalesce(d, 0) >= 2 ORDER BY degree DESC, exported DESC, name LIMIT 50")
 def graph_search_degree(spark):
     return G.search_graph(*_graph(spark), min_degree=2, limit=50)
 
 
-@query("graph_search_relationship", f"SELECT qualified_name, name, kind, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(d, 0) AS degree FROM symbols JOIN ({_DEGREES}) x ON q = qualified_name WHERE kind = 'class' ORDER BY degree DESC, name LIMIT 20")
+@query("graph_search_relationship", f"SELECT qualified_name, name, kind, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(d, 0) AS degree FROM symbols JOIN ({_DEGREES}) x ON q = qualified_name WHERE kind = 'class' ORDER BY degree DESC, exported DESC, name LIMIT 20")
 def graph_search_relationship(spark):
     return G.search_graph(*_graph(spark), kind="class", relationship="calls")
 
 
-@query("dead_code", "SELECT qualified_name, name, kind, file_path, start_line FROM symbols WHERE kind IN ('function', 'method') AND exported = 0 AND qualified_name NOT IN (SELECT target FROM edges) AND NOT regexp_matches(lower(file_path), 'test|spec') ORDER BY file_path, start_line LIMIT 500")
+@query("dead_code", """SELECT qualified_name, name, kind, file_path, start_line, coalesce(o, 0) AS outbound FROM symbols LEFT JOIN (SELECT source, count(*) AS o FROM edges WHERE type IN ('CALLS', 'CALLS_LOCAL') GROUP BY source) c ON source = qualified_name
+WHERE kind IN ('function', 'method') AND exported = 0 AND qualified_name NOT IN (SELECT target FROM edges WHERE type IN ('CALLS', 'CALLS_LOCAL')) AND lower(name) NOT IN ('main', 'handler', 'setup', 'init')
+AND lower(file_path) NOT LIKE '%test%' AND lower(file_path) NOT LIKE '%spec%' ORDER BY file_path, start_line, qualified_name LIMIT 500""")
 def dead_code(spark):
-    return G.dead_code(*_graph(spark))
+    return G.dead_code(*_graph(spark), limit=500)
 
 
 @query("schema_node_labels", "SELECT kind, count(*) AS n FROM symbols GROUP BY kind")
 def schema_node_labels(spark):
-    return spark.table("symbols").groupBy("kind").agg(F.count("*").alias("n"))
+    return A.counts(spark.table("symbols"), "kind")
 
 
 @query("schema_patterns", f"SELECT a.kind AS source_kind, r.type AS type, b.kind AS target_kind, count(*) AS n {_MATCH} GROUP BY a.kind, r.type, b.kind")
 def schema_patterns(spark):
-    return G.matched(*_graph(spark)).groupBy(F.col("a_kind").alias("source_kind"), "type", F.col("b_kind").alias("target_kind")).agg(F.count("*").alias("n"))
+    return A.relationship_patterns(*_graph(spark))
 
 
 @query("trace_outbound_d2", "SELECT source, target, type, weight, 1 AS level FROM edges WHERE source = 'part:1' UNION ALL SELECT source, target, type, weight, 2 AS level FROM edges WHERE source <> 'part:1' AND source IN (SELECT target FROM edges WHERE source = 'part:1')")
@@ -114,9 +115,12 @@ def trace_inbound_d1(spark):
     return G.trace(spark.table("edges"), "part:2", depth=1, direction="inbound")
 
 
-@query("impact_files", "SELECT neighbor, sum(weight) AS score FROM (SELECT source AS q, target AS neighbor, weight FROM edges UNION ALL SELECT target, source, weight FROM edges) e WHERE q IN (SELECT qualified_name FROM symbols WHERE start_line = 7) GROUP BY neighbor ORDER BY score DESC, neighbor LIMIT 50")
+@query("impact_files", """SELECT neighbor, sum(weight) AS score, arg_max(reason, {'w': weight, 'r': reason}) AS reason FROM (
+SELECT source AS q, target AS neighbor, weight, concat(type, ' from ', source) AS reason FROM edges UNION ALL SELECT target, source, weight, concat(type, ' to ', target) FROM edges) e
+WHERE q IN (SELECT qualified_name FROM symbols WHERE start_line = 7) GROUP BY neighbor ORDER BY score DESC, neighbor LIMIT 50""")
 def impact_files(spark):
-    return G.impact(spark.table("edges"), spark.table("symbols").where("start_line = 7"))
+    symbols, edges = _graph(spark)
+    return G.impact(edges, G.seeds_of(symbols, symbols.where("start_line = 7").select(F.col("file_path").alias("item"))))
 
 
 _REACH = "r(source, target) AS (SELECT source, target FROM imports UNION SELECT r.source, i.target FROM r JOIN imports i ON r.target = i.source)"
@@ -124,7 +128,7 @@ _REACH = "r(source, target) AS (SELECT source, target FROM imports UNION SELECT
 
 @query("cycles_scc", f"SELECT member, component FROM (WITH RECURSIVE {_REACH} SELECT x.source AS member, least(min(x.target), x.source) AS component FROM r x JOIN r y ON x.source = y.target AND x.target = y.source WHERE x.source <> x.target GROUP BY x.source) z")
 def cycles_scc(spark):
-    return G.cycles(spark.table("imports"))
+    return G.components(spark.table("imports"))
 
 
 _LINES = "SELECT path, CAST(i AS INTEGER) AS line, substr(ls[i], 1, 2000) AS text FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, string_split_regex(text, '\\r?\\n') AS ls FROM files) a) b WHERE trim(ls[i]) <> ''"
@@ -135,10 +139,9 @@ def code_lines(spark):
     return S.code_lines(spark.table("files"))
 
 
-@query("markers", f"SELECT count(*) AS lines, sum(CASE WHEN lower(text) LIKE '%token%' THEN 1 ELSE 0 END) AS sensitive, sum(CASE WHEN text LIKE '%TODO%' OR text LIKE '%FIXME%' THEN 1 ELSE 0 END) AS todos FROM ({_LINES}) l")
+@query("markers", f"SELECT count(*) AS lines, count(*) FILTER (lower(text) LIKE '%todo%' OR lower(text) LIKE '%fixme%') AS tasks, count(*) FILTER (lower(text) LIKE '%api_key%' OR lower(text) LIKE '%secret%' OR lower(text) LIKE '%password%') AS sensitive FROM ({_LINES}) l")
 def markers(spark):
-    lines = S.code_lines(spark.table("files"))
-    return lines.agg(F.count("*").alias("lines"), F.count_if(F.lower("text").like("%token%")).alias("sensitive"), F.count_if(F.col("text").like("%TODO%") | F.col("text").like("%FIXME%")).alias("todos"))
+    return A.markers(S.code_lines(spark.table("files")))
 
 
 _TOKENS = "SELECT path, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM files"
@@ -155,16 +158,6 @@ def bm25_search(spark):
     return S.bm25(spark.table("files"), ["anea", "station", "thing"], limit=20)
 
 
-@query("secret_assignments", f"SELECT path, line, md5(text) AS line_md5 FROM ({_LINES}) l WHERE regexp_matches(text, '(?i)(password|token|secret)\\s*=\\s*\"?[0-9a-f]{{16,}}')")
-def secret_assignments(spark):
-    return S.secret_lines(S.code_lines(spark.table("files"))).select("path", "line", F.md5("text").alias("line_md5"))
-
-
-@query("secret_scan", None)
-def secret_scan(spark):
-    return X.scan(S.code_lines(spark.table("files")))
-
-
 @query("language_files", "SELECT language, count(*) AS files, sum(chars) AS chars, count(DISTINCT project) AS projects FROM files GROUP BY language")
 def language_files(spark):
     return spark.table("files").groupBy("language").agg(F.count("*").alias("files"), F.sum("chars").alias("chars"), F.countDistinct("project").alias("projects"))
@@ -187,12 +180,15 @@ def vector_search_all(spark):
     return V.nearest_of_each(spark.table("embeddings"), spark.table("embeddings").where("vec_id % 50 = 0"), limit=20)
 
 
-@query("hash_tokens", "SELECT DISTINCT name, lower(regexp_extract(name, '^[A-Za-z]+', 0)) AS head FROM symbols")
-def hash_tokens(spark):
-    return spark.table("symbols").select("name", T.head_word(F.col("name")).alias("head")).distinct()
-
-
 def run_cypher(spark: SparkSession, text: str) -> DataFrame:
     from .cypher import query_graph
 
     return query_graph(*_graph(spark), text)
+
+
+def _more() -> None:
+    """Further queries, which use what is defined here."""
+    from . import queries  # noqa: F401
+
+
+_more()

@@ -33,7 +33,7 @@ def test_trace_and_dead_code_and_cycles(graph):
     symbols, edges = graph
     assert {(r.source, r.target, r.level) for r in G.trace(edges, "q1", depth=2).collect()} == {("q1", "q2", 1), ("q2", "q3", 2)}
     assert [r.qualified_name for r in G.dead_code(symbols, edges).collect()] == ["q4"]
-    assert {(r.member, r.component) for r in G.cycles(edges).collect()} == {(f"q{i}", "q1") for i in (1, 2, 3)}
+    assert {(r.member, r.component) for r in G.components(edges).collect()} == {(f"q{i}", "q1") for i in (1, 2, 3)}
 
 
 def test_entry_point_lists_queries():
