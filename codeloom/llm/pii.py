@@ -5,8 +5,8 @@ candidates (secrets, phones without a plus sign, unpunctuated national numbers);
 candidate: its own shape, gazetteers (mail hosts, reserved networks, issuer prefixes, words
 that mark a secret) and the words before it.  Candidates with equal votes are alike to the model,
 so Spark counts vote patterns (a bounded number), expectation-maximisation on the
-counts estimates each labeler's reliability, and a logistic classifier is trained on the
-votes and shape features against the posteriors.  Its weights go back as a column expression.
+counts estimates each labeler's reliability, and a logistic classifier is trained on
+votes, kind and shape (length, share of digits, what stands before) against the posteriors.  Its weights go back as a column expression.
 
 Only DataFrame functions run on the executors; the two models are fitted by the driver on
 the pattern counts.  Positions are code points, ends exclusive.
@@ -116,6 +116,22 @@ def votes(span: Column) -> list[Column]:
     ]
 
 
+LENGTHS, SHARES = 5, 5  # classes of a span's length and of its share of digits
+
+
+def shape(span: Column) -> list[Column]:
+    """What the classifier sees besides the votes: length in steps of eight, quarters of digits, whether a letter or digit goes on before the span."""
+    value = span["value"]
+    n = F.greatest(F.length(value), F.lit(1))
+    digits = F.length(F.regexp_replace(value, r"[^0-9]", ""))
+    joined = span["before"].rlike(r"[\p{L}\p{N}]$")
+    return [F.least(F.floor(n / 8), F.lit(LENGTHS - 1)).cast("int"), F.floor((SHARES - 1) * digits / n).cast("int"), joined.cast("int")]
+
+
+def _indicators(length: int, share: int, joined: int) -> list[float]:
+    return [*(float(length == i) for i in range(LENGTHS)), *(float(share == i) for i in range(SHARES)), float(joined)]
+
+
 def fit_labelers(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 100, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation with one accuracy a labeler; posteriors of the patterns and the accuracies.
 
@@ -152,25 +168,36 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, mass: np.ndarray, *, round
 def detect(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: bool = False) -> DataFrame:
     """``doc_id, base, spans``: arrays of (kind, start, stop); spans are base's and the accepted candidates; ``row`` with all columns if wanted."""
     found = stored(candidates(documents, doc_id=doc_id, text=text, keep=keep), "spans")
-    names = [f"v{i}" for i in range(7)]
-    each = found.select(F.explode(F.concat("base", "extra")).alias("s")).select(F.col("s.kind").alias("kind"), *(v.alias(n) for v, n in zip(votes(F.col("s")), names)))
+    names, shapes = [f"v{i}" for i in range(7)], ("length", "share", "joined")
+    each = found.select(F.explode(F.concat("base", "extra")).alias("s")).select(F.col("s.kind").alias("kind"), *(v.alias(n) for v, n in zip(votes(F.col("s")), names)), *(v.alias(n) for v, n in zip(shape(F.col("s")), shapes)))
     kinds = [k for k, *_ in BASE + LOOSE]
-    rows = each.groupBy("kind", *names).count().collect()  # at most kinds * 3^labelers rows, whatever the corpus
-    rows = sorted(rows, key=lambda r: (r["kind"], *(r[n] for n in names)))
+    # at most kinds * 3^labelers * shapes rows, whatever the corpus
+    rows = sorted(each.groupBy("kind", *names, *shapes).count().collect(), key=lambda r: (r["kind"], *(r[n] for n in (*names, *shapes))))
     if rows:
-        posterior, _ = fit_labelers([(tuple(r[n] for n in names), r["count"]) for r in rows])
-        x = np.array([[*(float(r[n]) for n in names), *(float(r["kind"] == k) for k in kinds)] for r in rows])
-        weights = fit_classifier(x, posterior, np.array([r["count"] for r in rows], float)).tolist()
+        patterns: dict[tuple, int] = {}
+        for r in rows:
+            seen = tuple(r[n] for n in names)
+            patterns[seen] = patterns.get(seen, 0) + r["count"]
+        voted, _ = fit_labelers(list(patterns.items()))
+        target = dict(zip(patterns, voted))
+        x = np.array([[*(float(r[n]) for n in names), *(float(r["kind"] == k) for k in kinds), *_indicators(*(r[n] for n in shapes))] for r in rows])
+        weights = fit_classifier(x, np.array([target[tuple(r[n] for n in names)] for r in rows]), np.array([r["count"] for r in rows], float)).tolist()
     else:
-        weights = [0.0] * (len(names) + len(kinds) + 1)
+        weights = [0.0] * (len(names) + len(kinds) + LENGTHS + SHARES + 2)
 
     def score(span: Column) -> Column:
         total = F.lit(weights[-1])
         for w, v in zip(weights, votes(span)):
             total = total + F.lit(w) * v
-        for w, k in zip(weights[len(names) : -1], kinds):
+        for w, k in zip(weights[len(names) :], kinds):
             total = total + F.when(span["kind"] == k, w).otherwise(0.0)
-        return total
+        rest = weights[len(names) + len(kinds) : -1]
+        length, share, joined = shape(span)
+        for i in range(LENGTHS):
+            total = total + F.when(length == i, rest[i]).otherwise(0.0)
+        for i in range(SHARES):
+            total = total + F.when(share == i, rest[LENGTHS + i]).otherwise(0.0)
+        return total + F.lit(rest[-1]) * joined
 
     # one place keeps one added span: later loose kinds yield to earlier ones
     order = {k: i for i, k in enumerate(kinds)}
