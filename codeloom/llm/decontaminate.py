@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import dropped, stored, table
 
 WINDOW_WORDS = 10
+NEAR_TERMS, WITHIN = 3, 20  # proximity: a window's three rarest terms within twenty words
 BROADCAST_WINDOWS = 200_000  # test windows up to which the benchmark side goes to every executor
 BROADCAST_ROWS = 2_000_000  # row numbers (8 bytes each) up to which documents with candidates go to every executor
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,34 +106,39 @@ def occurrences(index: Index, listed: DataFrame, windows: DataFrame, *, rarest:
     return hits.join(_maybe_broadcast(named, small), "window_id").select("rid", "start", "length", "item_id")
 
 
-def proximity(documents: DataFrame, items: DataFrame, *, within: int = 20, rarest: int = 3, size: int = WINDOW_WORDS) -> DataFrame:
-    """``doc_id, item_id, start, end``: places where the rarest terms of an item's window stand, in any order, in at most ``within`` words.
+def _near(index: Index, listed: DataFrame, windows: DataFrame, *, within: int, rarest: int) -> DataFrame:
+    """``rid, item_id, start, end``: places where the ``rarest`` terms of an item's window stand, in any order, in at most ``within`` words.
 
     A match ends at each posting that completes a set; its start is the latest that the other terms allow.
     """
-    listed = stored(windows_of(items, size=size), "windows")
-    windows, small = _numbered(listed)
-    index = Index(documents, windows, small)
     probes = index.probes(windows, rarest)
-    placed = index.postings.join(_maybe_broadcast(probes, small), "term").select("rid", "window_id", "place", "pos")
+    placed = index.postings.join(_maybe_broadcast(probes, index.small), "term").select("rid", "window_id", "place", "pos")
     before = Window.partitionBy("rid", "window_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = [F.max(F.when(F.col("place") == k, F.col("pos"))).over(before) for k in range(1, rarest + 1)]
     needed = probes.groupBy("window_id").agg(F.max("place").alias("needed"))
-    rows = placed.select("rid", "window_id", "pos", *(x.alias(f"last{k}") for k, x in enumerate(last, 1))).join(_maybe_broadcast(needed, small), "window_id")
+    rows = placed.select("rid", "window_id", "pos", *(x.alias(f"last{k}") for k, x in enumerate(last, 1))).join(_maybe_broadcast(needed, index.small), "window_id")
     known = [F.when(F.col("needed") >= k, F.coalesce(f"last{k}", F.lit(-(2**30)))).otherwise(F.col("pos")) for k in range(1, rarest + 1)]
     first = F.least(*known) if len(known) > 1 else known[0]
     near = rows.select("rid", "window_id", first.alias("start"), F.col("pos").alias("end")).where(F.col("end") - F.col("start") < within)
     named = listed.select("item_id", F.xxhash64(F.concat_ws(" ", "words")).alias("window_id"))
-    found = near.join(_maybe_broadcast(named, small), "window_id").select("rid", "item_id", "start", "end").distinct()
-    return found.join(index.split.select("rid", "doc_id"), "rid").select("doc_id", "item_id", "start", "end")
+    return near.join(_maybe_broadcast(named, index.small), "window_id").select("rid", "item_id", "start", "end").distinct()
+
+
+def proximity(documents: DataFrame, items: DataFrame, *, within: int = WITHIN, rarest: int = NEAR_TERMS, size: int = WINDOW_WORDS) -> DataFrame:
+    """``doc_id, item_id, start, end``: where the rarest terms of an item's windows stand near each other."""
+    listed = stored(windows_of(items, size=size), "windows")
+    windows, small = _numbered(listed)
+    index = Index(documents, windows, small)
+    return _near(index, listed, windows, within=within, rarest=rarest).join(index.split.select("rid", "doc_id"), "rid").select("doc_id", "item_id", "start", "end")
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of phrase matches, and ``n_near``, the items that are near, for every document."""
     listed = stored(windows_of(items), "windows")
     windows, small = _numbered(listed)
     index = Index(documents, windows, small, doc_id=doc_id, text=text)
     found = stored(occurrences(index, listed, windows), "occurrences")
+    near = stored(_near(index, listed, windows, within=WITHIN, rarest=NEAR_TERMS).groupBy("rid").agg(F.countDistinct("item_id").alias("n_near")), "near")
     index.drop()
     places = found.groupBy("rid", "start").agg(F.max("length").alias("length"))
     before = Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,13 +146,13 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_
     covered = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
     hit = places.select("rid", covered.alias("n")).groupBy("rid").agg(F.sum("n").alias("n_hit"))
     names = found.groupBy("rid").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    marks = stored(hit.join(names, "rid"), "marks")
+    marks = stored(hit.join(names, "rid").join(near, "rid", "full"), "marks")
     out = index.split.select("rid", "doc_id", "n_words").join(marks, "rid", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -177,7 +183,12 @@ g AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes W
 o AS MATERIALIZED (SELECT g.doc_id, g.s, g.n, v.item_id FROM g JOIN v ON list_slice(g.w, g.s, g.s + g.n - 1) = v.win),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM o) GROUP BY 1),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM o) GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+, f AS MATERIALIZED (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) x GROUP BY 1),
+t AS MATERIALIZED (SELECT win, term, place, max(place) OVER (PARTITION BY win) AS needed FROM (SELECT win, term, row_number() OVER (PARTITION BY win ORDER BY n, term) AS place, min(n) OVER (PARTITION BY win) AS least FROM (SELECT win, term, coalesce(n, 0) AS n FROM (SELECT DISTINCT win, unnest(win) AS term FROM v) y LEFT JOIN f USING (term)) z) q WHERE place <= {NEAR_TERMS} AND least > 0),
+m AS (SELECT doc_id, win, needed, pos, max(CASE WHEN place = 1 THEN pos END) OVER p AS l1, max(CASE WHEN place = 2 THEN pos END) OVER p AS l2, max(CASE WHEN place = 3 THEN pos END) OVER p AS l3
+  FROM (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d) x JOIN t USING (term) WINDOW p AS (PARTITION BY doc_id, win ORDER BY pos)),
+k AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT DISTINCT doc_id, win FROM m WHERE pos - least(coalesce(l1, -999999), CASE WHEN needed >= 2 THEN coalesce(l2, -999999) ELSE pos END, CASE WHEN needed >= 3 THEN coalesce(l3, -999999) ELSE pos END) < {WITHIN}) x JOIN v USING (win) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_near, 0) AS n_near, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN k USING (doc_id)"""
 }
 QUERIES = {"op7_decontamination": op7_decontamination}
