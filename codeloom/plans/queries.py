@@ -334,6 +334,29 @@ def context_pack(spark):
     return R.context_pack(stored(symbols, "symbols"), stored(edges.select("source", "target", "type", "weight"), "edges"), files, S.code_lines(files), "small widget helper", limit=6)
 
 
+# documents as symbols of their own, which share words
+_LIKE = f"""SELECT source, target, type, weight FROM (WITH s AS MATERIALIZED (SELECT path, list_distinct({_semantic("concat_ws(chr(10), concat('doc_', CAST(doc_id AS VARCHAR)), '', path, text)")}) AS t, list_distinct({_semantic('text')}) AS b FROM files),
+h AS MATERIALIZED (SELECT path, unnest(t) AS token FROM s WHERE len(t) >= 2), f AS (SELECT token FROM h GROUP BY token HAVING count(*) BETWEEN 2 AND 80),
+p AS MATERIALIZED (SELECT x.path AS a, y.path AS b, count(*) AS hits FROM (SELECT * FROM h WHERE token IN (SELECT token FROM f)) x JOIN h y ON x.token = y.token AND x.path < y.path GROUP BY ALL),
+r AS MATERIALIZED (SELECT p.a, p.b, hits / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AS score, len(list_intersect(x.t, y.t)) AS m,
+  CASE WHEN len(x.b) >= 6 AND len(y.b) >= 6 THEN len(list_intersect(x.b, y.b)) / (len(x.b) + len(y.b) - len(list_intersect(x.b, y.b))) ELSE 0 END AS body FROM p JOIN s x ON x.path = p.a JOIN s y ON y.path = p.b)
+SELECT a AS source, b AS target, 'SIMILAR_TO' AS type, round(score, 4) AS weight FROM r WHERE body >= 0.78
+UNION ALL SELECT a, b, 'SEMANTICALLY_RELATED', round(score, 4) FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM r WHERE body < 0.78 AND score >= 0.22 AND m >= 2) q WHERE k <= 5) z"""
+
+
+@query("similarity_edges", _LIKE)
+def similarity_edges(spark):
+    files = spark.table("files")
+    symbols = files.select(F.col("path").alias("qualified_name"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), F.lit("function").alias("kind"), F.col("path").alias("file_path"), "language", F.lit(1).alias("start_line"), F.lit(1_000_000).alias("end_line"), F.lit(None).cast("string").alias("signature"))
+    return D.similarity_edges(symbols, files, most=None)
+
+
+@query("config_key_edges", "SELECT concat('key:', p_name) AS source, qualified_name AS target, CAST(0.72 AS DOUBLE) AS weight FROM (SELECT DISTINCT p_name FROM part) k JOIN (SELECT p_name, concat('part:', CAST(p_partkey AS VARCHAR)) AS qualified_name FROM part) s USING (p_name)")
+def config_key_edges(spark):
+    keys = spark.table("part").select("p_name").distinct().select(F.concat(F.lit("key:"), "p_name").alias("qualified_name"), F.col("p_name").alias("name"), F.lit("config_key").alias("kind"), F.lit("config/settings.json").alias("file_path"), F.concat(F.lit('{"key": "settings.'), F.initcap("p_name"), F.lit('"}')).alias("metadata"))
+    return D.config_key_edges(keys.unionByName(spark.table("symbols").select("qualified_name", "name", "kind", "file_path", "metadata"))).select("source", "target", "weight")
+
+
 # --- secrets ---------------------------------------------------------------------------------------
 
 _KEYS = "SELECT path, line, text, regexp_extract(text, '([A-Za-z0-9_.-]*token[A-Za-z0-9_.-]*)[\"'']?\\s*[:=]\\s*\"([^\"'',\\s#;]+)\"', 1) AS key, regexp_extract(text, 'token[A-Za-z0-9_.-]*[\"'']?\\s*[:=]\\s*\"([^\"'',\\s#;]+)\"', 1) AS value FROM (" + _LINES + ") l"
@@ -344,6 +367,11 @@ def secret_scan_findings(spark):
     return X.scan(S.code_lines(spark.table("files"))).where("kind = 'sensitive_assignment' AND label = 'token' AND redacted LIKE '____...____'").select("path", "line", "kind", "severity", "redacted")
 
 
+@query("secret_scan", None)
+def secret_scan(spark):
+    return X.scan(S.code_lines(spark.table("files")))
+
+
 @query("secret_scan_totals", None)
 def secret_scan_totals(spark):
     return X.totals(X.scan(S.code_lines(spark.table("files"))))
