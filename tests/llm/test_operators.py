@@ -135,23 +135,23 @@ def test_language_model(docs, none):
 def test_frequent_words_behind_the_first_rows(spark):
     """A word that fills the end of the table is spread over shards like one at its beginning."""
     rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id < 2500 THEN concat('a', id, ' b', id) ELSE 'Hot x hot y' END AS text").coalesce(2)
-    frequent = language_model._frequent(rows.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), 4)
+    frequent, pieces = language_model._frequent(rows.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), 4)
     assert language_model._hashes([b"hot"])[0] in frequent and language_model._hashes([b"a1"])[0] not in frequent
-    sent = collections.Counter(language_model._spread(np.repeat(language_model._hashes([b"hot"]), 200), language_model._hashes([b"w%d" % i for i in range(200)]), frequent, 4).tolist())
+    sent = collections.Counter(language_model._spread(np.repeat(language_model._hashes([b"hot"]), 200), language_model._hashes([b"w%d" % i for i in range(200)]), frequent, pieces, 4).tolist())
     assert len(sent) == 4
 
 
-def test_kneser_ney_by_formula(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_by_formula(spark, order):
     """Scores of a small corpus against modified Kneser-Ney in plain Python."""
     rng = random.Random(2)
     texts = [" ".join(rng.choices(["hot"] * 6 + list("abcdefghijklmnopqrst"), k=rng.randint(0, 25))) for _ in range(120)]
-    got = by_id(language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
-    pairs = {i: list(zip(["<s>", *t.split()], [*t.split(), "</s>"])) for i, t in enumerate(texts)}
-    count = collections.Counter(p for i, ps in pairs.items() if zlib.crc32(str(i).encode()) % 10 for p in ps)
-    context, follow, before = collections.Counter(), collections.defaultdict(list), collections.Counter(w for _, w in count)
-    for (v, w), n in count.items():
-        context[v] += n
-        follow[v].append(n)
+    got = by_id(language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), order=order))
+    runs = {i: ["<s>", *t.split(), "</s>"] for i, t in enumerate(texts)}
+    trained = [r for i, r in runs.items() if zlib.crc32(str(i).encode()) % 10]
+    count = {n: collections.Counter(tuple(r[k : k + n]) for r in trained for k in range(len(r) - n + 1)) for n in (2, 3)}
+    lower = [collections.Counter(g[1:] for g in count[n]) for n in (2, 3)]  # distinct words before
+    tables = [lower[0], count[2]] if order == 2 else [lower[0], lower[1] + collections.Counter({g: c for g, c in count[2].items() if g[0] == "<s>"}), count[3]]
 
     def discount(counts):
         n = [sum(1 for c in counts if c == k) for k in range(5)]
@@ -159,18 +159,26 @@ def test_kneser_ney_by_formula(spark):
         d = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
         return [0.0] + [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
 
-    d2, d1 = discount(count.values()), discount(before.values())
-    types = len({w for _, w in count})
-    spare = sum(d1[min(n, 3)] for n in before.values()) / len(count)
-
-    def p(v, w):
-        lower = max(before[w] - d1[min(before[w], 3)], 0) / len(count) + spare / (types + 1)
-        if not context[v]:
-            return lower
-        return (max(count[v, w] - d2[min(count[v, w], 3)], 0) + sum(d2[min(n, 3)] for n in follow[v]) * lower) / context[v]
-
-    for i, ps in pairs.items():
-        assert got[i].score == pytest.approx(sum(math.log10(p(v, w)) for v, w in ps), abs=1e-9)
+    cuts = [discount(t.values()) for t in tables]
+    follow = [collections.defaultdict(list) for _ in tables]
+    for t, f in zip(tables, follow):
+        for g, c in t.items():
+            f[g[:-1]].append(c)
+    types = len(lower[0])
+
+    def p(gram):
+        if not gram:
+            return 1 / (types + 1)
+        n, below = len(gram) - 1, p(gram[1:])
+        after = follow[n][gram[:-1]]
+        if not after:
+            return below
+        c, d = tables[n][gram], cuts[n]
+        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in after) * below) / sum(after)
+
+    for i, r in runs.items():
+        want = sum(math.log10(p(tuple(r[max(0, k - order + 1) : k + 1]))) for k in range(1, len(r)))
+        assert got[i].score == pytest.approx(want, abs=1e-9)
 
 
 def test_urls(spark):
