@@ -92,7 +92,7 @@ def _events(rows_: np.ndarray, ids: list, texts: list[bytes], hot: np.ndarray, p
     inside[ends - 1] = False
     w[inside], w[~inside] = np.concatenate(rows), 1
     del rows, inside
-    v, u = np.zeros_like(w), np.zeros_like(w)
+    v, u = np.zeros_like(w), np.zeros_like(w) if order > 2 else None
     v[1:] = w[:-1]
     v[ends - sizes] = 0
     if order > 2:
@@ -102,10 +102,11 @@ def _events(rows_: np.ndarray, ids: list, texts: list[bytes], hot: np.ndarray, p
     rank = np.argsort(known, kind="stable")
     place = np.empty(len(rank), np.int32)
     place[rank] = np.arange(len(rank), dtype=np.int32)
-    u, v, w, ordered = place[u], place[v], place[w], known[rank]
+    v, w, ordered = place[v], place[w], known[rank]
     few = len(known) < 2**24 and shards < 2**15
     at = np.argsort((shard << 48) | (v.astype(np.int64) << 24) | w) if few else np.lexsort((w, v, shard))
-    u, v, w, doc, shard = u[at], v[at], w[at], doc[at], shard[at]
+    v, w, doc, shard = v[at], w[at], doc[at], shard[at]
+    u = place[u[at]] if order > 2 else None
     edges = blobs.groups(shard)
     training = np.array([not held_out(i) for i in ids], np.uint8)
     first = lambda h: np.diff(h, prepend=np.uint64(0))
@@ -113,7 +114,8 @@ def _events(rows_: np.ndarray, ids: list, texts: list[bytes], hot: np.ndarray, p
         vs, v_of = np.unique(v[a:b], return_inverse=True)
         ws, both = np.unique(np.concatenate([w[a:b], u[a:b]]) if order > 2 else w[a:b], return_inverse=True)
         docs, d_of = np.unique(doc[a:b], return_inverse=True)
-        yield int(shard[a]), blobs.pack(rows_[docs], training[docs], first(ordered[vs]), blobs.small(np.bincount(v_of)), first(ordered[ws]), blobs.small(both[: b - a]), blobs.small(d_of), blobs.small(both[b - a :]))
+        word = blobs.small(both[: b - a])
+        yield int(shard[a]), blobs.pack(np.diff(rows_[docs], prepend=0), training[docs], first(ordered[vs]), blobs.small(np.bincount(v_of)), first(ordered[ws]), np.diff(word, prepend=word.dtype.type(0)), blobs.small(d_of), blobs.small(both[b - a :]))
     home = (shingles.mix(rows_.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
     known_id, none = np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8)
     for h in np.unique(home).tolist():
@@ -135,43 +137,49 @@ def _classes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Shard:
     """A shard's events, merged from its messages; ``named`` has the messages with rows' ids.
 
-    ``pairs`` are distinct (v, w), ``triples`` distinct (pair, u), ``before`` distinct (v, u); u is one value where the order is 2.
+    ``pairs`` are distinct (v, w), ``triples`` distinct (pair, u), ``before`` distinct (v, u); where the order is 2, triples are pairs and there is no ``before``.
     """
 
     def __init__(self, messages: list[bytes], order: int):
-        parts = [blobs.unpack(m) for m in sorted(messages)]  # in one order, so that sums are the same each time
+        messages.sort()  # in one order, so that sums are the same each time
+        parts = [blobs.unpack(m) for m in messages]
+        messages.clear()  # an executor holds several shards
         self.named = [p for p in parts if len(p) == 3]
         parts = [p for p in parts if len(p) > 3]
         vs = [np.cumsum(p[2], dtype=np.uint64) for p in parts]
         ws = [np.cumsum(p[4], dtype=np.uint64) for p in parts]
         empty = np.zeros(0, np.uint64)
         self.contexts, self.words = (np.unique(np.concatenate(x)) if x else empty for x in (vs, ws))
-        self.docs = np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.int64)
+        rows = [np.cumsum(p[0]) for p in parts]
+        self.docs = np.unique(np.concatenate(rows)) if parts else np.zeros(0, np.int64)
         cat = lambda xs, t: np.concatenate(xs).astype(t, copy=False) if xs else np.zeros(0, t)
         # places within a shard: 32 bits are enough, and an executor holds several shards
         place = lambda known, h: np.searchsorted(known, h).astype(np.int32)
         ws = [place(self.words, h) for h in ws]
         v = cat([np.repeat(place(self.contexts, h), p[3].astype(np.int64)) for h, p in zip(vs, parts)], np.int32)
-        w = cat([h[p[5]] for h, p in zip(ws, parts)], np.int32)
-        u = cat([h[p[7]] for h, p in zip(ws, parts)], np.int32) if order > 2 else np.int32(0)
-        self.doc = cat([place(self.docs, p[0])[p[6]] for p in parts], np.int32)
+        w = cat([h[np.cumsum(p[5], dtype=p[5].dtype)] for h, p in zip(ws, parts)], np.int32)
+        u = cat([h[p[7]] for h, p in zip(ws, parts)], np.int32) if order > 2 else None
+        self.doc = cat([place(self.docs, r)[p[6]] for r, p in zip(rows, parts)], np.int32)
         training = cat([p[1][p[6]] for p in parts], bool)
         del parts, vs, ws
         pairs, pair = _classes((v.astype(np.int64) << 32) | w)
         del v, w
         self.pair_v, self.pair_w = (pairs >> 32).astype(np.int32), pairs.astype(np.int32)
         del pairs
-        triples, self.triple = _classes((pair.astype(np.int64) << 32) | u)
+        if order > 2:
+            triples, self.triple = _classes((pair.astype(np.int64) << 32) | u)
+            self.triple_pair = (triples >> 32).astype(np.int32)
+            before, self.triple_before = _classes((self.pair_v[self.triple_pair].astype(np.int64) << 32) | triples.astype(np.int32))
+            self.before_v, self.before_u = (before >> 32).astype(np.int32), before.astype(np.int32)
+            del triples, before
+        else:
+            self.triple, self.triple_pair = pair, np.arange(len(self.pair_v), dtype=np.int32)
         del pair, u
-        self.triple_pair, triple_u = (triples >> 32).astype(np.int32), triples.astype(np.int32)
-        del triples
         self.count = np.bincount(self.triple[training], minlength=len(self.triple_pair)).astype(np.int32)
-        before, self.triple_before = _classes((self.pair_v[self.triple_pair].astype(np.int64) << 32) | triple_u)
-        self.before_v, self.before_u = (before >> 32).astype(np.int32), before.astype(np.int32)
         size = len(self.pair_v)
         self.raw = np.bincount(self.triple_pair, weights=self.count, minlength=size).astype(np.int64)
         self.plain = (self.contexts == START)[self.pair_v] if order > 2 else np.ones(size, bool)  # nothing longer is known of these pairs
-        self.adjusted = np.where(self.plain, self.raw, np.bincount(self.triple_pair[self.count > 0], minlength=size))
+        self.adjusted = np.where(self.plain, self.raw, np.bincount(self.triple_pair[self.count > 0], minlength=size)) if order > 2 else self.raw
 
     @staticmethod
     def _of(group: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
@@ -445,7 +453,8 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", o
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    """Order 2: order 3 exceeds the memory and disk that an executor has on large tables (figures in the README)."""
+    return score(table(spark, sf_dir, "documents"), order=2)
 
 
 QUERIES = {"op9_kneser_ney": op9_kneser_ney}
