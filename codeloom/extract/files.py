@@ -18,7 +18,7 @@ def _arrow(schema: str) -> pa.StructType:
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """``symbol, edge`` (structs, one of them null) from ``path, language, text``; null texts have no symbols."""
+    """``symbol, edge`` (structs, one of them null) from ``path, language, text``; null texts have no symbols. Files are dealt by path, since a small input that makes many texts comes in few splits."""
     symbol, edge = _arrow(SYMBOL), _arrow(EDGE)
 
     def run(batches):
@@ -32,7 +32,8 @@ def extracted(files: DataFrame) -> DataFrame:
             none = lambda n, t: pa.nulls(n, t)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(symbols, symbol), none(len(edges), symbol)]), pa.concat_arrays([none(len(symbols), edge), pa.array(edges, edge)])], ["symbol", "edge"])
 
-    return files.select("path", "language", "text").mapInArrow(run, f"symbol struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: texts that compress well would be put together into one task again
+    return files.select("path", "language", "text").repartition(parts, "path").mapInArrow(run, f"symbol struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>")
 
 
 def graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,3 +36,10 @@ def test_similarity_pairs_are_compared_only_where_they_may_be_alike(spark, monke
     assert got == want and sum(t == "SIMILAR_TO" for t, _ in want.values()) == 8
     pairs = [t.count() for t in held.values() if {"a", "b"} <= set(t.columns)]
     assert pairs and max(pairs) < 500  # of 2016 pairs with a word in common
+
+
+def test_extraction_is_dealt_to_many_tasks(spark):
+    from codeloom.extract.files import extracted
+
+    files = spark.createDataFrame([(f"{k}.py", "python", f"def f{k}():\n    pass") for k in range(40)], "path string, language string, text string").coalesce(1)
+    assert extracted(files).rdd.getNumPartitions() == 4
