@@ -43,3 +43,34 @@ def test_extraction_is_dealt_to_many_tasks(spark):
 
     files = spark.createDataFrame([(f"{k}.py", "python", f"def f{k}():\n    pass") for k in range(40)], "path string, language string, text string").coalesce(1)
     assert extracted(files).rdd.getNumPartitions() == 4
+
+
+def test_http_edges_deal_busy_paths_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 4)
+    meta = '{{"method": "{}", "path": "/a"}}'.format
+    rows = [(f"r{k}", "route", f"r{k}.ts", 1, 1, meta("ANY" if k == 0 else "POST")) for k in range(30)]
+    rows += [(f"c{k}", "http_call", f"c{k}.ts", 2, 2, meta("ANY" if k == 1 else "POST")) for k in range(20)]
+    symbols = spark.createDataFrame(rows, "qualified_name string, kind string, file_path string, start_line int, end_line int, metadata string")
+    edges = D.http_edges(symbols)
+    want = {(f"c{k}.ts:file", f"r{j}", 0.9) for k in range(20) if k != 1 for j in range(1, 30)} | {("c1.ts:file", "r0", 0.65)}
+    got = [tuple(r) for r in edges.select("source", "target", "weight").collect()]
+    assert set(got) == want and len(got) == len(want)
+    place = D._met(spark.createDataFrame([(f"c{k}", "/a", "POST", 0.9) for k in range(20)], "source string, at string, method string, weight double"), spark.createDataFrame([("/a", "POST", f"r{j}") for j in range(30)], "at string, method string, target string"))
+    assert place.count() == 600 and place.select("row", "column").distinct().count() > 20
+
+
+def test_config_keys_meet_sets_of_words(spark, monkeypatch):
+    held, stored = {}, D.stored
+    monkeypatch.setattr(D, "stored", lambda df, label: held.setdefault(label, stored(df, label)))
+    rows = [("k1", "maxPoolSize", "config_key", "s.json", '{"key": "db.maxPoolSize"}'), ("k2", "x", "config_key", "s.json", '{"key": "x.red_fox"}')]
+    rows += [(f"f{k}", f"max_pool_{k}", "function", "a.ts", None) for k in range(50)] + [("g", "poolMaxSize", "function", "a.ts", None), ("h", "theRedBigFox", "class", "b.ts", None), ("i", "redFox", "class", "s.json", None)]
+    got = D.config_key_edges(spark.createDataFrame(rows, "qualified_name string, name string, kind string, file_path string, metadata string"))
+    assert {(r.source, r.target) for r in got.collect()} == {("k1", "g"), ("k2", "h")}
+    assert held["held-words"].select("held").distinct().count() == 3  # fifty names that hold the same words of keys are one set
+
+
+def test_history_has_no_window_over_all_rows(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["history_hotspots"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in df._jdf.queryExecution().toString()
