@@ -54,7 +54,7 @@ def history(spark: SparkSession, root: str, commits: int = COMMITS) -> DataFrame
 
 
 def hotspots(log: DataFrame, *, limit: int = 12) -> DataFrame:
-    """Files by churn; ``seq`` counts from the newest change, whose author and date are the last ones."""
+    """Files by churn; ``seq`` (a number, or anything else that has an order) counts from the newest change, whose author and date are the last ones."""
     newest = lambda c: F.min_by(c, "seq")
     rows = log.groupBy("path").agg(
         F.countDistinct("commit").alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"),
