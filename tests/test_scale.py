@@ -74,3 +74,33 @@ def test_history_has_no_window_over_all_rows(spark):
 
     df = __spark_entry__.queries()["history_hotspots"](spark, "/root/testdata/sf0.001")
     assert "Window" not in df._jdf.queryExecution().toString()
+
+
+def test_exact_communities_of_parts_in_different_tasks(spark):
+    import random
+
+    from codeloom.operators import analytics as A
+
+    draw, links = random.Random(5), set()
+    for part in range(6):
+        links |= {(f"n{part}x{draw.randrange(15)}", f"n{part}x{draw.randrange(15)}") for _ in range(30)}
+    links = sorted(links)
+    ids = sorted({x for e in links for x in e} | {"alone"})
+    symbols = spark.createDataFrame([(i, "function") for i in ids], "qualified_name string, kind string")
+    edges = spark.createDataFrame([(*e, "CALLS", 1.0 + k % 3) for k, e in enumerate(links)], "source string, target string, type string, weight double")
+    nodes, weighed = A.community_graph(symbols, edges)
+    near = {}
+    for s, t, w in weighed.collect():
+        near.setdefault(s, []).append((t, w))
+        near.setdefault(t, []).append((s, w))
+    labels = {i: i for i in ids}
+    for _ in range(8):
+        for r in sorted(nodes.collect(), key=lambda r: (-r.degree, r.id)):
+            if r.id in near:
+                heard = {labels[r.id]: 100_000}
+                for j, w in near[r.id]:
+                    heard[labels[j]] = heard.get(labels[j], 0) + w
+                labels[r.id] = min(heard, key=lambda x: (-heard[x], x))
+    for together in (10, 500_000):
+        got = A.communities_exact(symbols, edges, together=together)
+        assert {r.id: r.label for r in got.collect()} == labels
