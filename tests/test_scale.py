@@ -104,3 +104,10 @@ def test_exact_communities_of_parts_in_different_tasks(spark):
     for together in (10, 500_000):
         got = A.communities_exact(symbols, edges, together=together)
         assert {r.id: r.label for r in got.collect()} == labels
+
+
+def test_call_edges_send_no_side_of_a_join_to_all(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["call_edges"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
