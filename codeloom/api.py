@@ -77,8 +77,7 @@ class Graph:
         return S.code_lines(self.files.where(~F.col("skipped")))
 
     def search_code(self, query: str, *, limit: int = 20) -> DataFrame:
-        words = stored(R.tokenized(self.lines), "tokens")
-        return R.search_code(self.lines, R.line_index(words), R.index_totals(words), query, limit=limit)
+        return R.search_code(self.lines, None, None, query, limit=limit)
 
     def search_symbols(self, query: str, *, kind: str | None = None, limit: int = 20) -> DataFrame:
         return R.symbol_search(self.symbols, query, kind=kind, limit=limit)

@@ -111,3 +111,32 @@ def test_call_edges_send_no_side_of_a_join_to_all(spark):
 
     df = __spark_entry__.queries()["call_edges"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_search_makes_no_row_or_array_of_a_token(spark, monkeypatch):
+    from codeloom.operators import retrieval as R
+
+    draw, held, stored = random.Random(7), {}, R.stored
+    monkeypatch.setattr(R, "stored", lambda df, label: held.setdefault(label, stored(df, label)))
+    parts = [*"abXZ019_ .,-/'äÖßéİΣ٣\t$", "Http", "URL", "getX", "foo_bar", "http", "anea", "Thing", "thing_x", "a" * 79, "b" * 41]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(16))) for _ in range(3000)]
+    lines = spark.createDataFrame([(f"f{k % 900}.ts", k % 11, t) for k, t in enumerate(texts)], "path string, line int, text string")  # some places come twice
+    tokens = R.tokenized(lines)
+    for query in ("httpThing anea_x", "aa foobar b", "!"):
+        held.clear()
+        got = [tuple(r) for r in R.search_lines(lines, query, limit=500).collect()]
+        assert got == [tuple(r) for r in R.search_index(R.line_index(tokens), R.index_totals(tokens), query, limit=500).collect()]
+        assert all("array" not in kind for df in held.values() for _, kind in df.dtypes) and sum(df.count() for df in held.values()) < 3 * len(texts)
+    assert bool(got) == (query != "!")
+
+
+def test_searched_lines_are_dealt_to_many_tasks(spark, monkeypatch):
+    import __spark_entry__
+    from codeloom.operators import retrieval as R
+
+    parts, stored = {}, R.stored
+    monkeypatch.setattr(R, "stored", lambda df, label: (parts.setdefault(label, df.rdd.getNumPartitions()), stored(df, label))[1])
+    for name in ("bm25_lines", "context_pack"):
+        parts.clear()
+        __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+        assert parts["line-counts"] == 4
