@@ -140,3 +140,48 @@ def test_searched_lines_are_dealt_to_many_tasks(spark, monkeypatch):
         parts.clear()
         __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
         assert parts["line-counts"] == 4
+
+
+def test_symbol_searches_read_each_text_once(spark):
+    from codeloom.operators import retrieval as R
+
+    symbols = spark.createDataFrame([("a", "saveOrder", "function", "a.ts", 1, 2, 1, "f()", None)], "qualified_name string, name string, kind string, file_path string, start_line int, end_line int, exported int, signature string, metadata string")
+    files = spark.createDataFrame([("a.ts", "save orders\nof users")], "path string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    once = "regexp_extract_all(lower(regexp_replace(regexp_replace(concat_ws("
+    assert plan(R.semantic_search(symbols, files, "save order")).count(once) == 1
+    index = plan(R.vector_index(symbols, files))
+    assert index.count(once) == 1 and "Aggregate" not in index and "Generate" not in index  # no token is a row
+
+
+def test_hashed_vectors_of_batches_and_repeated_keys(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    from codeloom.operators import terms as T
+
+    def hashed(token):
+        h = 2166136261
+        for c in token:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+        return h - 2**32 if h >= 2**31 else h
+
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcdefgh12") for _ in range(draw.randrange(1, 12))) for _ in range(120)]
+    rows = [(f"k{draw.randrange(60):02}" if k % 3 else f"own{k}", k, draw.choices(words, k=draw.randrange(12))) for k in range(300)] + [("none", 300, []), ("null", 301, None), (None, 302, ["abc"])]
+    of, want = defaultdict(Counter), {}
+    for key, _, tokens in rows:
+        of[key].update(tokens or [])
+    for key, n, tokens in rows:
+        sums = defaultdict(float)
+        for t, c in of[key].items():
+            sums[abs(hashed(t)) % 32] += (-1 if hashed(t) % 2 else 1) * (1 + math.log(c)) * (1.15 if len(t) >= 8 else 1)
+        weights = [(b, round(w, 6)) for b, w in sorted(sums.items()) if abs(round(w, 6)) > 0.000001]
+        if key and weights:
+            want[n] = (key, sorted(set(tokens or [])), weights, round(math.sqrt(sum(w * w for _, w in weights)), 6))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # rows of a key come in several batches
+    try:
+        got = T.hashed_vectors(spark.createDataFrame(rows, "key string, n long, tokens array<string>"), "key", "tokens", 32).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {r.n: (r.key, r.tokens, [tuple(w) for w in r.weights], r.magnitude) for r in got} == want
